@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing, sharding
 from .common import read
 
 
@@ -14,8 +14,22 @@ def op2_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), leaves=40)
+
+
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_superminhash": op2_superminhash}
+    return {f.__name__: f for f in (op2_superminhash, op3_kd_tree, op9_best_fit)}
 
 
 def oracle_sql() -> dict[str, str]:

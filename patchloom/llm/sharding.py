@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Stash
@@ -57,22 +57,27 @@ def coordinates(docs: DataFrame) -> DataFrame:
     )
 
 
+def _fixed(rows: DataFrame, values: dict[int, tuple], kinds: str) -> DataFrame:
+    """A table of constants by node, at most one row for each leaf of the tree: small enough to broadcast."""
+    return F.broadcast(rows.sparkSession.createDataFrame([(k, *v) for k, v in values.items()], f"node long, {kinds}"))
+
+
+def _dim(name: str) -> Column:
+    return F.when(F.col(name) == DIMS[0], F.col(DIMS[0])).when(F.col(name) == DIMS[1], F.col(DIMS[1])).otherwise(F.col(DIMS[2]))
+
+
 def _narrow(rows: DataFrame, cuts: list[Cut], stage: int) -> None:
     """Narrows each cut's interval of key number `stage` to the one value that the cut falls on."""
-    keys = [lambda c: F.col(c.dim), lambda c: F.col("d_crc"), lambda c: F.col("id_key")]
     open_cuts = [c for c in cuts if c.lo < c.hi]
     while open_cuts:
         node = {c.node: c for c in open_cuts}
-        value, lo, step = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("long")
-        for c in open_cuts:
-            here = F.col("node") == c.node
-            for i, v in enumerate(c.keys):
-                here &= keys[i](c) == v
-            here &= keys[stage](c).between(c.lo, c.hi)
-            width = (c.hi - c.lo) // BINS + 1
-            value, lo, step = F.when(here, keys[stage](c)).otherwise(value), F.when(here, F.lit(c.lo)).otherwise(lo), F.when(here, F.lit(width)).otherwise(step)
+        at = _fixed(rows, {c.node: (c.dim, *(c.keys + (0, 0))[:2], c.lo, c.hi, (c.hi - c.lo) // BINS + 1) for c in open_cuts}, "dim string, k0 long, k1 long, l long, h long, w long")
+        x = rows.join(at, "node").withColumn("v0", _dim("dim"))
+        for key, fixed in (("v0", "k0"), ("d_crc", "k1"))[:stage]:
+            x = x.where(F.col(key) == F.col(fixed))
+        key = F.col(("v0", "d_crc", "id_key")[stage])
+        binned = x.where(key.between(F.col("l"), F.col("h"))).select("node", "size", key.alias("v"), "l", "w")
         got: dict[int, dict[int, int]] = {c.node: {} for c in open_cuts}
-        binned = rows.select("node", "size", value.alias("v"), lo.alias("l"), step.alias("w")).where("v is not null")
         for r in binned.groupBy("node", F.expr("(v - l) div w").alias("b")).agg(F.sum("size").alias("s")).collect():
             got[r.node][r.b] = r.s
         for k, c in node.items():
@@ -85,13 +90,10 @@ def _narrow(rows: DataFrame, cuts: list[Cut], stage: int) -> None:
         open_cuts = [c for c in open_cuts if c.lo < c.hi]
 
 
-def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int]) -> tuple[DataFrame, int]:
+def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int], stash: Stash) -> DataFrame:
     """rows with shard 0 .. leaves - 1; the tree is walked a level at a time, all nodes of a level at once."""
     tree = {0: (0, leaves)}  # node -> first leaf, leaves
-    rows = rows.withColumn("node", F.lit(0).cast("long"))
-    levels = 0
     while any(n > 1 for _, n in tree.values()):
-        levels += 1
         split = [k for k, (_, n) in tree.items() if n > 1]
         about = rows.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMS for f in (F.min, F.max)]).collect()
         cuts = []
@@ -107,18 +109,14 @@ def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int]) -> tuple[Dat
             _narrow(rows, cuts, stage)
             for c in cuts:
                 c.keys += (c.lo,)
-        node = F.col("node")
-        out = F.when(~node.isin(split), node * 2)
-        for c in cuts:
-            a, b, i = c.keys
-            right = (F.col(c.dim) > a) | ((F.col(c.dim) == a) & ((F.col("d_crc") > b) | ((F.col("d_crc") == b) & (F.col("id_key") > i))))
-            out = out.when(node == c.node, F.when(right, F.lit(2 * c.node + 1)).otherwise(F.lit(2 * c.node)))
-        rows = rows.withColumn("node", out.otherwise(node * 2))
+        at = _fixed(rows, {c.node: (c.dim, *c.keys) for c in cuts}, "dim string, k0 long, k1 long, k2 long")
+        right = F.struct(_dim("dim"), "d_crc", "id_key") > F.struct("k0", "k1", "k2")
+        moved = rows.join(at, "node", "left").withColumn("node", F.col("node") * 2 + F.when(F.col("dim").isNotNull() & right, 1).otherwise(0))
+        before, rows = rows, stash.put(moved.drop("dim", "k0", "k1", "k2"), "level")
+        stash.drop(before)
         tree = {2 * k + side: at for k, (first, n) in tree.items() for side, at in ((0, (first, n // 2 if n > 1 else n)), (1, (first + n // 2, n - n // 2))) if side == 0 or n > 1}
-    shard = F.lit(None).cast("int")
-    for k, (first, _) in tree.items():
-        shard = F.when(F.col("node") == k, F.lit(first)).otherwise(shard)
-    return rows.withColumn("shard", shard.cast("int")), levels
+    shard = _fixed(rows, {k: (first,) for k, (first, _) in tree.items()}, "shard int")
+    return rows.join(shard, "node")
 
 
 def shard_documents(docs: DataFrame, leaves: int | None = 40, target_bytes: int | None = None, slot_rows: int = 20_000) -> DataFrame:
@@ -126,10 +124,10 @@ def shard_documents(docs: DataFrame, leaves: int | None = 40, target_bytes: int
 
     leaves: number of shards; None derives it from target_bytes. slot_rows: about how many rows are numbered together."""
     stash = Stash(docs.sparkSession, "sharding")
-    rows = stash.put(coordinates(docs), "rows")
+    rows = stash.put(coordinates(docs).withColumn("node", F.lit(0).cast("long")), "rows")
     n, total, lo, hi = rows.agg(F.count("*"), F.sum("size"), F.min("id_key"), F.max("id_key")).first()
     leaves = leaves or max(1, -(-(total or 0) // target_bytes))
-    rows, _ = assign(rows, leaves, (lo, hi)) if n else (rows.withColumn("shard", F.lit(0)), 0)
+    rows = assign(rows, leaves, (lo, hi), stash) if n else rows.withColumn("shard", F.lit(0))
     subs = max(1, n // leaves // slot_rows + 1)
     rows = stash.put(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(subs)).cast("int").alias("sub")), "shards")
     counts = rows.groupBy("shard", "sub").agg(F.count("*").alias("c"))
