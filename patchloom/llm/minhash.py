@@ -7,7 +7,7 @@ the full sets of the two texts.
 
 No group is ever expanded into all pairs. Documents with one and the same set are a class with one representative.
 Representatives are then linked in rounds: first each with the smallest partner that any of its bands offers, then
-with the smallest member of each of its bands that is still in another component, and last with whatever is left in
+with the smallest member of each of its bands that is still in another component, and last, in blocks, with whatever is left in
 another component in any of its bands. The last round makes the result exact for every pair that shares a band.
 
 Null text, empty text and text without words give an empty set, which links with nothing. A row without doc_id links
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash, WordIds, as_bytes, mix64
-from .graph import components
+from .graph import UnionFind, components
 
+BLOCK = 512  # members of a band that are compared with as many others in one call
 BANDS, ROWS = 32, 5  # a pair at 0.8 is missed with a chance of (1 - 0.8 ** 5) ** 32, about 3e-6
 #: Four bits of each place are kept. Two sets at 0.8 agree in 0.8125 of the places, give or take 0.031 at 160 of them;
 #: below this share, over five deviations less, they need no full check.
@@ -157,6 +158,45 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return both.mapInArrow(full, "a long, b long")
 
 
+def confirmed_in_blocks(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (key, rep, label) that share a key and have different labels.
+
+    A key's members are dealt into blocks, and each pair of blocks is compared by one call, so neither the rows that
+    come out nor what a call holds grows with the square of a key's members. A pair is compared where its first shared
+    key is, and not at all once other links of the call have joined it."""
+    sized = members.groupBy("key").agg(F.count("*").alias("c")).select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    text = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    rows = members.join(sized, "key").join(reps.select("rep", "bands"), "rep").join(text, "rep")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "label", "bands", "text")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().sort_by("rep")
+        key, i, j = (t[c][0].as_py() for c in ("key", "i", "j"))
+        block, rep, label = (t[c].to_pylist() for c in ("block", "rep", "label"))
+        words, found, uf = WordIds(), [], UnionFind()
+        sets = [shingles(x, words, k) for x in as_bytes(t["text"].chunk(0))]
+        size = np.array([len(s) for s in sets])
+        bands = np.array(t["bands"].to_pylist(), np.int64)
+        mine = np.argmax(bands[0] == key)
+        first = bands[:, :mine]
+        for x in range(len(rep)):
+            y = np.arange(x + 1, len(rep))
+            fits = (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])) & ~(first[y] == first[x]).any(axis=1)
+            for y in y[fits].tolist():
+                if (i != j and block[x] == block[y]) or uf.root(label[x]) == uf.root(label[y]):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (size[x] + size[y] - both):
+                    uf.join(label[x], label[y])
+                    found.append((rep[x], rep[y]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     spark = docs.sparkSession
@@ -168,7 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     shared = stash.put(members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key"), "shared")
     inside = stash.put(members.join(shared, "key").join(reps.select("rep", "bits"), "rep"), "inside")  # only what shares a band
     alike = lambda x="", y="_b": plausible(f"n{x}", f"n{y}", f"bits{x}", f"bits{y}", bands * rows, percent)
-    other = [F.col(c).alias(f"{c}_b") for c in ("rep", "n", "bits", "label")]
+    other = [F.col(c).alias(f"{c}_b") for c in ("key", "n", "bits", "label")]
     link = lambda pairs: stash.put(confirmed(pairs, docs, k, percent), "links")
 
     def labelled(comp: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -188,8 +228,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     links = stash.put(links.unionByName(link(near.select(F.col("rep_b").alias("a"), F.col("rep").alias("b")).distinct())), "links")
 
     x, _ = labelled(components(links, stash))
-    near = x.join(x.select("key", *other), "key").where((F.col("label") < F.col("label_b")) & alike())
-    links = stash.put(links.unionByName(link(near.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct())), "links")
+    met = x.join(x.select(*other), (F.col("key") == F.col("key_b")) & (F.col("label") != F.col("label_b")) & alike(), "left_semi")
+    links = stash.put(links.unionByName(stash.put(confirmed_in_blocks(met.select("key", "rep", "label"), reps, docs, k, percent), "links")), "links")
     comp = components(links, stash)
 
     ids = reps.select("n", "d1", "d2", "rep")
