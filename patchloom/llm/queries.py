@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, sharding
+from . import decontam, minhash, packing, sharding, toxicity
 from .common import read
 
 
@@ -18,6 +18,15 @@ def op3_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"), leaves=40)
 
 
+def op4_latent_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -29,7 +38,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_superminhash, op3_kd_tree, op9_best_fit)}
+    return {f.__name__: f for f in (op2_superminhash, op3_kd_tree, op4_latent_semantic, op9_best_fit, op10_pattern_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
