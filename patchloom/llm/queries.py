@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, packing, sharding, toxicity
+from . import decontam, langid, lmscore, minhash, packing, sharding, toxicity
 from .common import read
 
 
@@ -27,6 +27,15 @@ def op10_pattern_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op5_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -38,7 +47,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_superminhash, op3_kd_tree, op4_latent_semantic, op9_best_fit, op10_pattern_grammar)}
+    return {f.__name__: f for f in (op2_superminhash, op3_kd_tree, op4_latent_semantic, op5_brown_classes, op8_rank_order, op9_best_fit, op10_pattern_grammar)}
 
 
 def oracle_sql() -> dict[str, str]:
