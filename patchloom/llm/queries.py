@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lmscore, minhash, packing, pii, sharding, toxicity
+from . import decontam, embeddings, langid, lmscore, minhash, packing, pages, pii, sharding, toxicity
 from .common import read
 
 
@@ -35,6 +35,14 @@ def op5_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(read(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op7_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op8_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -51,7 +59,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_boosted_candidates, op2_superminhash, op3_kd_tree, op4_latent_semantic, op5_brown_classes, op8_rank_order, op9_best_fit, op10_pattern_grammar)}
+    own = (op1_boosted_candidates, op2_superminhash, op3_kd_tree, op4_latent_semantic, op5_brown_classes, op6_epsilon_grid, op7_host_consensus, op8_rank_order, op9_best_fit, op10_pattern_grammar)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
