@@ -1,13 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are overlapping windows of words, weighted by TF-IDF over hashed terms; document frequencies cover every
-document. A distributed randomised SVD gives the latent space: each partition adds up its share of A'(A Q), the driver
-orthonormalises, and the second pass refines the first. Every window of every document is compared by cosine with every
-benchmark item; what is near enough is checked by the longest common subsequence of words around the window and by the
-item's answer, its rarest words, so that reworded passages count and mere common words don't.
+Passages are overlapping windows of words, weighted by TF-IDF over the words of the benchmark; document frequencies
+cover every document. A distributed randomised SVD of the benchmark's passages gives the latent space: each partition
+adds up its share of A'(A Q), the driver orthonormalises, and a second pass refines the first; directions are whitened,
+so common words don't rule the cosine. Every window of every document is compared with every benchmark item; what is
+near enough is checked by the longest common subsequence of words around the window and by the item's answer, its
+rarest words, so that reworded passages count and mere common words don't.
 
-The index (the basis) is fitted on `fit_docs` documents, first by a hash of doc_id, and on the benchmark; all documents
-are searched. Items are searched in blocks of `block`, so what is broadcast is bounded however large the benchmark is.
+Items are indexed and searched in blocks of `block`, so what is broadcast and what partitions send to the driver is
+bounded however large the benchmark is.
 
 Null or empty texts hold no passage, and null or empty items match nothing. Repeated rows are each searched. With an
 empty table there are no hits. Columns other than doc_id, item_id and text are ignored.
@@ -15,55 +16,54 @@ empty table there are no hits. Columns other than doc_id, item_id and text are i
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stash
 
-WORD = re.compile(r"\w+")
-TERMS = 1 << 14
-RANK = 64
+RANK = 96
 HALF = 16  # words of half a window
-PAD = np.int64(TERMS)  # the term of padding, which weighs nothing
+#: ASCII other than letters, digits and the underscore separates words.
+SPLIT = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
-class Words(dict):
-    """A word to a 62-bit id, remembered for at most `limit` words."""
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").translate(SPLIT).split() if text else []
 
-    limit = 1_000_000
 
-    def __missing__(self, w: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w.encode()) >> 2
-        return h
+class Vocabulary(dict):
+    """Words of a block of items to terms from 1; 0 is any other word and weighs nothing."""
 
-    def of(self, text: str | None) -> np.ndarray:
-        w = WORD.findall(text.lower()) if text else []
-        return np.fromiter(map(self.__getitem__, w), np.int64, len(w))
+    def __init__(self, texts):
+        super().__init__()
+        for t in texts:
+            for w in words_of(t):
+                self.setdefault(w, len(self) + 1)
 
+    def ids(self, text: str | None) -> np.ndarray:
+        w = words_of(text)
+        return np.fromiter((self.get(x, 0) for x in w), np.int64, len(w))
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """For each hashed term the number of texts that hold it; the last place is the number of texts."""
+
+def document_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
+    """For each term the number of texts that hold it; place 0 is the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n = Words(), np.zeros(TERMS + 1, np.int64)
+        own, known = vocabulary.value, frozenset(vocabulary.value)
+        n = np.zeros(len(own) + 1, np.int64)
         for b in batches:
-            ids = [words.of(t) for t in b.column(0).to_pylist()]
-            owner = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-            flat = np.unique(owner * TERMS + (np.concatenate(ids) % TERMS if len(owner) else np.zeros(0, np.int64)))
-            n[:TERMS] += np.bincount(flat % TERMS, minlength=TERMS)
-            n[TERMS] += len(ids)
+            for t in b.column(0).to_pylist():
+                found = known.intersection(words_of(t))
+                n[[own[w] for w in found]] += 1
+                n[0] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
 
-    out = np.zeros(TERMS + 1, np.int64)
+    out = np.zeros(len(vocabulary.value) + 1, np.int64)
     for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out
@@ -72,10 +72,10 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 def _gathered(ids: list[np.ndarray], weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Terms padded to whole halves, the vector of each window of two halves, its text, its first half's number there."""
     halves = [-(-len(x) // HALF) for x in ids]
-    flat = np.full(sum(halves) * HALF, PAD)
+    flat = np.zeros(sum(halves) * HALF, np.int64)
     at = 0
     for x, h in zip(ids, halves, strict=True):
-        flat[at : at + len(x)] = x % TERMS
+        flat[at : at + len(x)] = x
         at += h * HALF
     part = weighted[flat].reshape(-1, HALF, weighted.shape[1]).sum(axis=1)
     owner = np.repeat(np.arange(len(ids)), halves)
@@ -91,44 +91,52 @@ def windows(ids: list[np.ndarray], weighted: np.ndarray) -> tuple[np.ndarray, np
     return part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12), owner, first
 
 
-def latent_basis(sample: DataFrame, idf: np.ndarray, rank: int = RANK, passes: int = 2, seed: int = 7) -> np.ndarray:
-    """An orthonormal basis (terms x rank) of the leading right singular vectors of the sample's TF-IDF windows."""
-    basis = np.random.default_rng(seed).standard_normal((TERMS, rank)).astype(np.float32)
-    for _ in range(passes):
-        shared = sample.sparkSession.sparkContext.broadcast(basis)
+def latent_basis(items: DataFrame, vocabulary, idf: np.ndarray, rank: int = RANK, passes: int = 2, seed: int = 7) -> np.ndarray:
+    """Whitened leading right singular vectors (terms x rank) of the TF-IDF windows of items."""
+    terms = len(idf)
+    basis = np.random.default_rng(seed).standard_normal((terms, min(rank, terms))).astype(np.float32)
+    for step in range(passes + 1):
+        shared = items.sparkSession.sparkContext.broadcast(basis)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, total = Words(), np.zeros((TERMS + 1, rank), np.float32)
-            w = np.vstack([shared.value * idf[:, None], np.zeros((1, rank), np.float32)])
+            w = shared.value * idf[:, None]
+            total, gram = np.zeros(w.shape, np.float32), np.zeros((w.shape[1],) * 2)
             for b in batches:
-                all_ids = [words.of(t) for t in b.column(0).to_pylist()]
-                for lo, hi in _batches(all_ids):
-                    flat, part = _gathered(all_ids[lo:hi], w)[:2]
+                ids = [vocabulary.value.ids(t) for t in b.column(0).to_pylist()]
+                for lo, hi in _batches(ids):
+                    flat, part = _gathered(ids[lo:hi], w)[:2]
+                    gram += part.T @ part
                     # a word stands in the window that begins with its half and in the one before
-                    both = part + np.vstack([np.zeros((1, rank), np.float32), part[:-1]])
+                    both = part + np.vstack([np.zeros((1, w.shape[1]), np.float32), part[:-1]])
                     order = np.argsort(flat, kind="stable")
                     term, start = np.unique(flat[order], return_index=True)
-                    total[term] += np.add.reduceat(both[order // HALF], start, axis=0) * np.append(idf, 0)[term][:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([total[:TERMS].tobytes()], pa.binary())], ["z"])
-
-        z = np.zeros((TERMS, rank))
-        for r in sample.select("text").mapInArrow(run, "z binary").toLocalIterator():
-            z += np.frombuffer(r.z, np.float32).reshape(TERMS, rank)
-        basis = np.linalg.qr(z)[0].astype(np.float32)
-    return basis
+                    if len(term):
+                        total[term] += np.add.reduceat(both[order // HALF], start, axis=0) * idf[term][:, None]
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([gram.tobytes()], pa.binary())], ["z", "gram"])
+
+        z, gram = np.zeros(basis.shape), np.zeros((basis.shape[1],) * 2)
+        for r in items.select("text").mapInArrow(run, "z binary, gram binary").toLocalIterator():
+            z += np.frombuffer(r.z, np.float32).reshape(z.shape)
+            gram += np.frombuffer(r.gram).reshape(gram.shape)
+        if step < passes:
+            basis = np.linalg.qr(z)[0].astype(np.float32)
+    values, turn = np.linalg.eigh(gram)
+    size = np.sqrt(np.maximum(values, 0))
+    keep = size > 1e-3 * size.max() if size.max() > 0 else np.zeros(len(size), bool)
+    return (basis @ (turn[:, keep] / size[keep])).astype(np.float32)
 
 
 class Index:
     """Benchmark items in the latent space, with what the checks of a candidate need."""
 
-    def __init__(self, items: list[tuple[int, str]], idf: np.ndarray, basis: np.ndarray, near: float, lcs: float, loose: float, answer: float):
-        words = Words()
+    def __init__(self, items: list[tuple[int, str]], vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, near: float, lcs: float, loose: float, answer: float):
+        self.vocabulary = vocabulary
         self.near, self.lcs, self.loose, self.answer = near, lcs, loose, answer
-        self.weighted = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)])
-        kept = [(i, words.of(t)) for i, t in items]
+        self.weighted = basis * idf[:, None]
+        kept = [(i, vocabulary.ids(t)) for i, t in items]
         kept = [(i, x) for i, x in kept if len(x)]
         self.ids, self.words = [i for i, _ in kept], [x.tolist() for _, x in kept]
-        v = np.array([self.weighted[x % TERMS].sum(axis=0) for _, x in kept]).reshape(len(kept), basis.shape[1])
+        v = np.array([self.weighted[x].sum(axis=0) for _, x in kept]).reshape(len(kept), basis.shape[1])
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32).T
         self.masks, self.answers, self.counts = [], [], []
         for x in self.words:
@@ -137,7 +145,7 @@ class Index:
                 mask[w] = mask.get(w, 0) | 1 << i
             self.masks.append(mask)
             self.counts.append({w: m.bit_count() for w, m in mask.items()})
-            rare = sorted(set(x), key=lambda w: (-idf[w % TERMS], w))
+            rare = sorted(set(x), key=lambda w: (-idf[w], w))
             self.answers.append(frozenset(rare[: max(1, len(rare) // 4)]))
 
     def common(self, k: int, text: list[int]) -> float:
@@ -193,24 +201,23 @@ def _batches(ids: list[np.ndarray], most: int = 60_000) -> Iterator[tuple[int, i
         yield start, len(ids)
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 3_000, block: int = 20_000, near: float = 0.33, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.75) -> list:
+def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: float = 0.55, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.75) -> list:
     """Broadcast indexes, one for each block of items. near: least cosine of a candidate. lcs: least common share of a
     hit; loose: least share where at least `answer` of the item's rarest words are there too."""
     spark = docs.sparkSession
     stash = Stash(spark, "decontam")
-    df = document_frequencies(docs)
-    idf = np.log1p(df[TERMS] / (1 + df[:TERMS])).astype(np.float32)
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(fit_docs).select(F.col("doc_id").alias("_id"))
-    some = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("_id")).select("text")
-    sample = stash.put(some.unionByName(benchmark.select("text")).repartition(8), "sample")
-    basis = latent_basis(sample, idf)
-    n = benchmark.count()
-    blocks = -(-n // block)
-    out = []
+    items = stash.put(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"), "items")
+    blocks, out = -(-items.count() // block), []
     for i in range(blocks):
-        part = benchmark if blocks == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        items = [(r.item_id, r.text) for r in part.select(F.col("item_id").cast("long").alias("item_id"), "text").collect()]
-        out.append(spark.sparkContext.broadcast(Index(items, idf, basis, near, lcs, loose, answer)))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        vocabulary = Vocabulary(t for _, t in rows)
+        shared = spark.sparkContext.broadcast(vocabulary)
+        df = document_frequencies(docs, shared)
+        idf = np.log1p(df[0] / (1 + df)).astype(np.float32)
+        idf[0] = 0
+        basis = latent_basis(part.repartition(4), shared, idf)
+        out.append(spark.sparkContext.broadcast(Index(rows, vocabulary, idf, basis, near, lcs, loose, answer)))
     return out
 
 
@@ -219,9 +226,9 @@ def leaks(docs: DataFrame, index) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("common_share", pa.float64()), ("answer_share", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, own = Words(), index.value
+        own = index.value
         for b in batches:
-            doc_ids, ids = b.column(0).to_pylist(), [words.of(t) for t in b.column(1).to_pylist()]
+            doc_ids, ids = b.column(0).to_pylist(), [own.vocabulary.ids(t) for t in b.column(1).to_pylist()]
             rows = []
             for lo, hi in _batches(ids):
                 for i, hits in enumerate(own.hits(ids[lo:hi]), lo):
@@ -249,9 +256,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     for index in indexes(docs, benchmark, **options):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words, own = Words(), index.value
+            own = index.value
             for b in batches:
-                ids = [words.of(t) for t in b.column(at).to_pylist()]
+                ids = [own.vocabulary.ids(t) for t in b.column(at).to_pylist()]
                 clean = [not hits for lo, hi in _batches(ids) for hits in own.hits(ids[lo:hi])]
                 yield b.filter(pa.array(clean, pa.bool_()))
 
