@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Spark-native patch review analytics and training-data operators."""

@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Column functions for text whose meaning must be exact."""

@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Operators over patches, source trees and answers."""

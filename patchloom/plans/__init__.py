@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Named queries, their SQL, and whole runs."""

@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Where patches, rules and source trees come from."""

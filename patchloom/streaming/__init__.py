@@ -1 +1 @@
-"""Spark-native patch review analytics."""
+"""Streaming extensions."""
