@@ -199,8 +199,8 @@ def confirmed_in_blocks(members: DataFrame, reps: DataFrame, docs: DataFrame, k:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
-    spark = docs.sparkSession
-    stash = Stash(spark, "minhash")
+    stash = Stash(docs.sparkSession, "minhash")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     feats = stash.put(features(docs, k, bands, rows), "features")
     classes = feats.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2")
     reps = stash.put(classes.agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "reps")
@@ -245,4 +245,4 @@ def _one_per_id(found: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept: one document of each group, all columns as they were."""
     gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -27,7 +27,7 @@ DIMS = ("d_size", "d_script", "d_crc")
 
 @dataclass
 class Cut:
-    """A cut in the making: rows at or below it go left."""
+    """A cut in the making: rows below it go left, rows above it right."""
 
     node: int
     leaves: int
@@ -36,8 +36,15 @@ class Cut:
     keys: tuple  # values fixed so far of (dim, crc, id)
     lo: int = 0
     hi: int = 0
-    before: int = 0
-    bound: tuple | None = None
+    before: int = 0  # weight below the interval
+    weight: int = 0  # weight inside it
+
+    def low_side_holds_it(self, total: int) -> bool:
+        """Whether the row on the cut goes left: what brings the left side nearer its goal, but leaves no side empty."""
+        after = self.before + self.weight
+        if not self.before or after == total:
+            return not self.before
+        return after - self.goal <= self.goal - self.before
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
@@ -68,7 +75,7 @@ def _dim(name: str) -> Column:
 
 def _narrow(rows: DataFrame, cuts: list[Cut], stage: int) -> None:
     """Narrows each cut's interval of key number `stage` to the one value that the cut falls on."""
-    open_cuts = [c for c in cuts if c.lo < c.hi]
+    open_cuts = cuts
     while open_cuts:
         node = {c.node: c for c in open_cuts}
         at = _fixed(rows, {c.node: (c.dim, *(c.keys + (0, 0))[:2], c.lo, c.hi, (c.hi - c.lo) // BINS + 1) for c in open_cuts}, "dim string, k0 long, k1 long, l long, h long, w long")
@@ -86,6 +93,7 @@ def _narrow(rows: DataFrame, cuts: list[Cut], stage: int) -> None:
                 if before + got[k][b] >= c.goal:
                     break
                 before += got[k][b]
+            c.weight = got[k][b]
             c.lo, c.hi, c.before = c.lo + b * width, min(c.hi, c.lo + (b + 1) * width - 1), before
         open_cuts = [c for c in open_cuts if c.lo < c.hi]
 
@@ -95,13 +103,13 @@ def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int], stash: Stash
     tree = {0: (0, leaves)}  # node -> first leaf, leaves
     while any(n > 1 for _, n in tree.values()):
         split = [k for k, (_, n) in tree.items() if n > 1]
-        about = rows.groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMS for f in (F.min, F.max)]).collect()
+        about = rows.where(F.col("node").isin(split)).groupBy("node").agg(F.sum("size").alias("total"), *[f(d).alias(f"{d}_{f.__name__}") for d in DIMS for f in (F.min, F.max)]).collect()
         cuts = []
         for r in about:
-            if r.node in split:
-                dim = max(DIMS, key=lambda d: r[f"{d}_max"] - r[f"{d}_min"])
-                n = tree[r.node][1]
-                cuts.append(Cut(r.node, n, dim, max(1, round(r.total * (n // 2) / n)), (), r[f"{dim}_min"], r[f"{dim}_max"]))
+            dim = max(DIMS, key=lambda d: r[f"{d}_max"] - r[f"{d}_min"])
+            n = tree[r.node][1]
+            cuts.append(Cut(r.node, n, dim, max(1, round(r.total * (n // 2) / n)), (), r[f"{dim}_min"], r[f"{dim}_max"]))
+        total = {r.node: r.total for r in about}
         for stage, (lo, hi) in enumerate([(0, 0), (0, WIDTH - 1), id_range]):
             for c in cuts:
                 if stage:
@@ -109,10 +117,11 @@ def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int], stash: Stash
             _narrow(rows, cuts, stage)
             for c in cuts:
                 c.keys += (c.lo,)
-        at = _fixed(rows, {c.node: (c.dim, *c.keys) for c in cuts}, "dim string, k0 long, k1 long, k2 long")
-        right = F.struct(_dim("dim"), "d_crc", "id_key") > F.struct("k0", "k1", "k2")
+        at = _fixed(rows, {c.node: (c.dim, *c.keys, c.low_side_holds_it(total[c.node])) for c in cuts}, "dim string, k0 long, k1 long, k2 long, left boolean")
+        own, cut = F.struct(_dim("dim"), "d_crc", "id_key"), F.struct("k0", "k1", "k2")
+        right = (own > cut) | ((own == cut) & ~F.col("left"))
         moved = rows.join(at, "node", "left").withColumn("node", F.col("node") * 2 + F.when(F.col("dim").isNotNull() & right, 1).otherwise(0))
-        before, rows = rows, stash.put(moved.drop("dim", "k0", "k1", "k2"), "level")
+        before, rows = rows, stash.put(moved.drop("dim", "k0", "k1", "k2", "left"), "level")
         stash.drop(before)
         tree = {2 * k + side: at for k, (first, n) in tree.items() for side, at in ((0, (first, n // 2 if n > 1 else n)), (1, (first + n // 2, n - n // 2))) if side == 0 or n > 1}
     shard = _fixed(rows, {k: (first,) for k, (first, _) in tree.items()}, "shard int")

@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, terminals: i
 
     examples: the most labelled rows used, those first by a hash of doc_id. terminals: the most terminals kept."""
     stash = Stash(docs.sparkSession, "toxicity")
+    docs, labels = docs.select("doc_id", F.col("text").cast("string").alias("text")), labels.select("doc_id", "toxic")
     gold = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     gold = gold.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(examples).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     rows = stash.put(docs.join(F.broadcast(gold), docs["doc_id"] == F.col("_id")).select("text", "toxic"), "examples")
