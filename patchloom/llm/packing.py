@@ -13,7 +13,9 @@ other; pieces then repeat their numbers. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,41 +34,53 @@ class Encoder:
 
     White space always separates tokens of this vocabulary and normalisation never crosses it, so a text's ids are its
     pieces' ids in a row; pieces repeat, so they are remembered. A piece that is letters and then ASCII punctuation is
-    two tokens groups, remembered apart."""
+    two groups of tokens, remembered apart."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.known: dict[str, bytes] = {}  # pieces of this generation
+        self.before: dict[str, bytes] = {}  # and of the one before, from which those still used are taken over
+
+        self.model = self.tokenizer.model
+        #: Bytes as the characters that byte-level vocabularies write them with.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        self.written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
     def raw(self, piece: str) -> bytes:
+        """The ids of a piece. Latin letters are one word to the vocabulary's merges, which need no more than its bytes."""
+        if piece.isalpha() and max(piece) < "\u0130" and unicodedata.is_normalized("NFC", piece):
+            word = "".join(map(self.written.__getitem__, piece.lower().encode()))
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def part(self, piece: str) -> bytes:
         out = self.known.get(piece)
         if out is None:
-            out = self.known[piece] = self.raw(piece)
+            out = self.before.get(piece)
+            self.known[piece] = out = self.raw(piece) if out is None else out
         return out
 
+    def learn(self, piece: str) -> None:
+        core = piece.rstrip(".,!?;:|*#$%&")
+        if piece in self.before:
+            self.known[piece] = self.before[piece]
+        elif core != piece and core.isalpha():
+            self.known[piece] = self.part(core.lower() if core.isascii() else core) + self.part(piece[len(core) :])
+        elif piece.isascii() and piece.isalpha():
+            self.known[piece] = self.part(piece.lower())
+        else:
+            self.known[piece] = self.raw(piece)
+
     def __call__(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        for p in pieces:
-            if p not in known:
-                core = p.rstrip(".,!?;:|*#$%&")
-                if core != p and core.isalpha():
-                    known[p] = self.part(core.lower() if core.isascii() else core) + self.part(p[len(core) :])
-                elif p.isascii() and p.isalpha():
-                    known[p] = self.part(p.lower()) if not p.islower() else self.raw(p)
-                else:
-                    known[p] = self.raw(p)
-        return b"".join([known[p] for p in pieces])
+        if len(self.known) > self.limit:
+            self.known, self.before = {}, self.known
+        for p in set(pieces).difference(self.known):
+            self.learn(p)
+        return b"".join(map(self.known.__getitem__, pieces))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
