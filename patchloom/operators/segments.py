@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-PATCH = Window.partitionBy("patch_id").orderBy("pos")
-SO_FAR = PATCH.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
 
 def explode_lines(patches: DataFrame) -> DataFrame:
     """patches (patch_id, diff) -> patch_id, pos (from 0), line. A null diff has no lines."""
@@ -24,6 +21,8 @@ def annotate(lines: DataFrame) -> DataFrame:
 
     Adds is_header, is_hunk, kind (header, hunk, removed, added, context), file and rule_file ('' before any), file_seq,
     hunk_seq, hunk_start (0 before any hunk), content (without the marker), new_line (number in the new file)."""
+    patch = Window.partitionBy("patch_id").orderBy("pos")
+    so_far = patch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     line = F.col("line")
     header, hunk = line.startswith("diff --git"), line.startswith("@@")
     removed = line.startswith("-") & ~line.startswith("---")
@@ -49,16 +48,16 @@ def annotate(lines: DataFrame) -> DataFrame:
     )
     x = x.withColumns(
         {
-            "file": F.coalesce(F.last("own_file", ignorenulls=True).over(SO_FAR), F.lit("")),
-            "rule_file": F.coalesce(F.last("own_rule_file", ignorenulls=True).over(SO_FAR), F.lit("")),
-            "file_seq": F.sum(F.col("is_header").cast("int")).over(SO_FAR),
-            "hunk_seq": F.sum((F.col("is_header") | F.col("is_hunk")).cast("int")).over(SO_FAR),
-            "hunk_start": F.coalesce(F.last("own_start", ignorenulls=True).over(SO_FAR), F.lit(0)).cast("bigint"),
-            "base_line": F.coalesce(F.last("own_line", ignorenulls=True).over(SO_FAR), F.lit(1)).cast("bigint"),
-            "steps": F.coalesce(F.sum("step").over(PATCH.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "file": F.coalesce(F.last("own_file", ignorenulls=True).over(so_far), F.lit("")),
+            "rule_file": F.coalesce(F.last("own_rule_file", ignorenulls=True).over(so_far), F.lit("")),
+            "file_seq": F.sum(F.col("is_header").cast("int")).over(so_far),
+            "hunk_seq": F.sum((F.col("is_header") | F.col("is_hunk")).cast("int")).over(so_far),
+            "hunk_start": F.coalesce(F.last("own_start", ignorenulls=True).over(so_far), F.lit(0)).cast("bigint"),
+            "base_line": F.coalesce(F.last("own_line", ignorenulls=True).over(so_far), F.lit(1)).cast("bigint"),
+            "steps": F.coalesce(F.sum("step").over(patch.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
-    at_hunk = F.coalesce(F.last(F.when(F.col("is_rule_hunk"), F.col("steps")), ignorenulls=True).over(SO_FAR), F.lit(0))
+    at_hunk = F.coalesce(F.last(F.when(F.col("is_rule_hunk"), F.col("steps")), ignorenulls=True).over(so_far), F.lit(0))
     return x.withColumn("new_line", (F.col("base_line") + F.col("steps") - at_hunk).cast("bigint")).drop("own_file", "own_rule_file", "own_line", "base_line", "steps")
 
 
