@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,16 +71,11 @@ def as_bytes(col: pa.Array) -> list[bytes | None]:
     return col.cast(pa.large_binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df through f, a batch at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = f(b)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that fewer texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def fold(doc_id: str, modulus: int):
@@ -102,7 +97,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Bytes of a word to a 64-bit hash, remembered; the memory is emptied when it holds `limit` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, slices
 
 RANK = 96
 HALF = 16  # words of half a window
@@ -55,7 +55,7 @@ def document_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = vocabulary.value, frozenset(vocabulary.value)
         n = np.zeros(len(own) + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0).to_pylist():
                 found = known.intersection(words_of(t))
                 n[[own[w] for w in found]] += 1
@@ -101,7 +101,7 @@ def latent_basis(items: DataFrame, vocabulary, idf: np.ndarray, rank: int = RANK
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             w = shared.value * idf[:, None]
             total, gram = np.zeros(w.shape, np.float32), np.zeros((w.shape[1],) * 2)
-            for b in batches:
+            for b in slices(batches):
                 ids = [vocabulary.value.ids(t) for t in b.column(0).to_pylist()]
                 for lo, hi in _batches(ids):
                     flat, part = _gathered(ids[lo:hi], w)[:2]
@@ -227,7 +227,7 @@ def leaks(docs: DataFrame, index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        for b in batches:
+        for b in slices(batches):
             doc_ids, ids = b.column(0).to_pylist(), [own.vocabulary.ids(t) for t in b.column(1).to_pylist()]
             rows = []
             for lo, hi in _batches(ids):
@@ -257,7 +257,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
-            for b in batches:
+            for b in slices(batches):
                 ids = [own.vocabulary.ids(t) for t in b.column(at).to_pylist()]
                 clean = [not hits for lo, hi in _batches(ids) for hits in own.hits(ids[lo:hi])]
                 yield b.filter(pa.array(clean, pa.bool_()))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, fold_of
+from .common import fold, fold_of, slices
 
 LENGTH = 400  # n-grams of a profile
 ORDERS = 3
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, folds: int = 5, held: int = 0, length: int = LENGTH) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
+        for b in slices(batches):
             texts: dict[str, list[str]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(text)
@@ -118,7 +118,7 @@ def identify(docs: DataFrame, profiles: Profiles, folds: int = 5, held: int = 0)
     """docs -> doc_id, held_out, lang_pred, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             got = [profiles.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fold_of(ids, folds) == held), pa.array([x for x, _ in got], pa.string()), pa.array([float(s) for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, as_bytes, fold, fold_of
+from .common import Stash, as_bytes, fold, fold_of, slices
 
 BANDS = 24  # frequency bands of words that aren't clustered
 
@@ -92,7 +92,7 @@ class Head:
 class Places(dict):
     """A word's place in the head, or -1 - place in `others` for a word that isn't there."""
 
-    def __init__(self, head: Head, limit: int = 1_000_000):
+    def __init__(self, head: Head, limit: int = 300_000):
         super().__init__()
         self.head, self.limit, self.others = head, limit, []
 
@@ -112,7 +112,7 @@ class Places(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def count_words(texts: DataFrame, flush: int = 500_000) -> DataFrame:
+def count_words(texts: DataFrame, flush: int = 300_000) -> DataFrame:
     """texts (text) -> hash, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def count_words(texts: DataFrame, flush: int = 500_000) -> DataFrame:
             keys = np.fromiter((xxhash.xxh3_64_intdigest(w) - (1 << 63) for w in n), np.int64, len(n))
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(n.values(), np.int64, len(n)))], ["hash", "n"])
 
-        for b in batches:
+        for b in slices(batches):
             for t in as_bytes(b.column(0)):
                 n.update((t or b"").lower().split())
             if len(n) > flush:
@@ -158,7 +158,7 @@ def count_bigrams(texts: DataFrame, head) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, total = Places(head.value), np.zeros(size * size, np.int64)
         own = head.value
-        for b in batches:
+        for b in slices(batches):
             rows = [[own.end]]
             for t in as_bytes(b.column(0)):
                 i = places.of((t or b"").lower().split())
@@ -210,7 +210,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, clustered:
         own, places, row = shared.value, Places(shared.value), TaskContext.get().partitionId() << 36
         trans, emit, of, base = tables.value
         end_base = math.log10(texts + 0.1) - math.log10(base_all)
-        for b in batches:
+        for b in slices(batches):
             ids, out = b.column(0).to_pylist(), []
             for t in as_bytes(b.column(1)):
                 i = places.of((t or b"").lower().split())

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, WordIds, as_bytes, mix64
+from .common import Stash, WordIds, as_bytes, mix64, slices
 from .graph import UnionFind, components
 
 BLOCK = 512  # members of a band that are compared with as many others in one call
@@ -99,7 +99,7 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds()
-        for b in batches:
+        for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
             start = 0
             while start < len(ids):
@@ -143,7 +143,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last, held = WordIds(), None, None
-        for t in batches:
+        for t in slices(batches, 200):
             keep = []
             for a, x, y in zip(t.column(0).to_pylist(), as_bytes(t.column(2)), as_bytes(t.column(3)), strict=True):
                 if last != (a, len(x)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -36,7 +36,7 @@ class Encoder:
     pieces' ids in a row; pieces repeat, so they are remembered. A piece that is letters and then ASCII punctuation is
     two groups of tokens, remembered apart."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = (encode(text) if text else b"") + end

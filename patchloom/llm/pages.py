@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, slices
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -182,7 +182,7 @@ def votes(pages: DataFrame) -> DataFrame:
     """pages -> host, path, votes, score; summed by host and path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             total: dict[tuple[str, str], list[float]] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 page = Page(source or "")
@@ -216,7 +216,7 @@ def extract_pages(pages: DataFrame, keep: int = 3, broadcast_hosts: int = 100_00
         rows = rows.join(winners, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for source, host, paths in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 page = Page(source or "")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Fixed formats of base spans. A lookbehind keeps digit runs from being tried at each digit; no match is changed by it.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -255,7 +257,7 @@ def find(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts, sha, said = [], [], []
             for t in b.column(1).to_pylist():
                 base = base_spans(t) if t else []
@@ -287,7 +289,7 @@ def redact(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cols = list(b.columns)
             at = names.index("text")
             texts = [masked(t) for t in cols[at].to_pylist()]

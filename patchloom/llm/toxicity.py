@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stash, fold, fold_of
+from .common import Stash, fold, fold_of, slices
 
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]")
 STEM = range(4, 8)  # letters of a stem terminal
@@ -69,7 +69,7 @@ class Grammar:
         """Terminal -> the largest weight that the product of the transducers gave it in any clause."""
         tokens = TOKEN.findall(text.lower()) if text else []
         seen = self.seen
-        if len(seen) > 500_000:
+        if len(seen) > 150_000:
             seen.clear()
         for w in set(tokens).difference(seen):
             seen[w] = self.terminals(w)
@@ -111,10 +111,10 @@ def _count(docs: DataFrame, only: frozenset[str] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n.update(candidates(text) if only is None else only & candidates(text))
-            if len(n) > 1_000_000:
+            if len(n) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["term", "n"])
                 n.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, terminals: i
     grammar = Grammar({t[1:]: i for i, t in enumerate(chosen) if t[0] == "="}, {t[1:]: i for i, t in enumerate(chosen) if t[0] == "^"}, [0.0] * len(chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [grammar.matches(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(m) for m in found], pa.list_(pa.int32())), pa.array([list(m.values()) for m in found], pa.list_(pa.float64())), b.column(1)], ["k", "w", "toxic"])
 
@@ -182,7 +182,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, folds: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(grammar.words, grammar.stems, grammar.weights, grammar.bias)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0).to_pylist()
             s = np.array([own.score(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fold_of(ids, folds) == held), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -196,7 +196,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = 0.3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Grammar(grammar.words, grammar.stems, grammar.weights, grammar.bias)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([own.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
