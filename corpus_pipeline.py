@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from patchloom import ship
 from patchloom.llm import decontam, minhash, packing, pii, toxicity
 from patchloom.llm.common import Stash, read
 from patchloom.llm.queries import tokenizer_path
@@ -26,6 +27,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the texts."""
+    ship(spark)
     return pii.redact(docs)
 
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import ship
+
 _STASHES: list[tuple[SparkSession, str]] = []
 
 
@@ -22,6 +24,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where the setting is unset, as in tests."""
+    ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='patchloom-')}"
