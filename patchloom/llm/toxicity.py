@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 20_000, terminals: i
     x, y = np.zeros((len(got), len(chosen))), np.array([float(r.toxic > 0) for r in got])
     for i, r in enumerate(got):
         x[i, r.k] = r.w
-    *grammar.weights, grammar.bias = (float(v) for v in logistic(x, y, ridge=1.0))
+    *grammar.weights, grammar.bias = (float(v) for v in logistic(x, y, ridge=0.2))
     return grammar
 
 
