@@ -37,7 +37,8 @@ class Cut:
     lo: int = 0
     hi: int = 0
     before: int = 0  # weight below the interval
-    weight: int = 0  # weight inside it
+    weight: int = 0  # weight inside it, 0 before anything is known of it
+    ranges: tuple = ()  # least and largest value of each key there
 
     def low_side_holds_it(self, total: int) -> bool:
         """Whether the row on the cut goes left: what brings the left side nearer its goal, but leaves no side empty."""
@@ -74,31 +75,32 @@ def _dim(name: str) -> Column:
 
 
 def _narrow(rows: DataFrame, cuts: list[Cut], stage: int) -> None:
-    """Narrows each cut's interval of key number `stage` to the one value that the cut falls on."""
-    open_cuts = cuts
-    while open_cuts:
+    """Narrows each cut's interval of key number `stage` to the one value that the cut falls on.
+
+    An interval shrinks to the values that are really there, so a few rounds do, and none where one value is left."""
+    while open_cuts := [c for c in cuts if c.lo < c.hi or not c.weight]:
         node = {c.node: c for c in open_cuts}
         at = _fixed(rows, {c.node: (c.dim, *(c.keys + (0, 0))[:2], c.lo, c.hi, (c.hi - c.lo) // BINS + 1) for c in open_cuts}, "dim string, k0 long, k1 long, l long, h long, w long")
         x = rows.join(at, "node").withColumn("v0", _dim("dim"))
         for key, fixed in (("v0", "k0"), ("d_crc", "k1"))[:stage]:
             x = x.where(F.col(key) == F.col(fixed))
         key = F.col(("v0", "d_crc", "id_key")[stage])
-        binned = x.where(key.between(F.col("l"), F.col("h"))).select("node", "size", key.alias("v"), "l", "w")
-        got: dict[int, dict[int, int]] = {c.node: {} for c in open_cuts}
-        for r in binned.groupBy("node", F.expr("(v - l) div w").alias("b")).agg(F.sum("size").alias("s")).collect():
-            got[r.node][r.b] = r.s
+        binned = x.where(key.between(F.col("l"), F.col("h"))).select("node", "size", key.alias("v"), "l", "w", F.struct("v0", "d_crc", "id_key").alias("keys"))
+        got: dict[int, dict[int, tuple]] = {c.node: {} for c in open_cuts}
+        ends = [f(f"keys.{k}") for k in ("v0", "d_crc", "id_key") for f in (F.min, F.max)]
+        for r in binned.groupBy("node", F.expr("(v - l) div w").alias("b")).agg(F.sum("size").alias("s"), F.array(*ends).alias("ends")).collect():
+            got[r.node][r.b] = r.s, r.ends
         for k, c in node.items():
-            width, before = (c.hi - c.lo) // BINS + 1, c.before
             for b in sorted(got[k]):
-                if before + got[k][b] >= c.goal:
+                c.weight, ends = got[k][b]
+                if c.before + c.weight >= c.goal:
                     break
-                before += got[k][b]
-            c.weight = got[k][b]
-            c.lo, c.hi, c.before = c.lo + b * width, min(c.hi, c.lo + (b + 1) * width - 1), before
-        open_cuts = [c for c in open_cuts if c.lo < c.hi]
+                c.before += c.weight
+            c.ranges = (ends[0:2], ends[2:4], ends[4:6])
+            c.lo, c.hi = c.ranges[stage]
 
 
-def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int], stash: Stash) -> DataFrame:
+def assign(rows: DataFrame, leaves: int, stash: Stash) -> DataFrame:
     """rows with shard 0 .. leaves - 1; the tree is walked a level at a time, all nodes of a level at once."""
     tree = {0: (0, leaves)}  # node -> first leaf, leaves
     while any(n > 1 for _, n in tree.values()):
@@ -110,10 +112,10 @@ def assign(rows: DataFrame, leaves: int, id_range: tuple[int, int], stash: Stash
             n = tree[r.node][1]
             cuts.append(Cut(r.node, n, dim, max(1, round(r.total * (n // 2) / n)), (), r[f"{dim}_min"], r[f"{dim}_max"]))
         total = {r.node: r.total for r in about}
-        for stage, (lo, hi) in enumerate([(0, 0), (0, WIDTH - 1), id_range]):
+        for stage in range(3):
             for c in cuts:
                 if stage:
-                    c.lo, c.hi = lo, hi
+                    c.lo, c.hi = c.ranges[stage]
             _narrow(rows, cuts, stage)
             for c in cuts:
                 c.keys += (c.lo,)
@@ -134,9 +136,9 @@ def shard_documents(docs: DataFrame, leaves: int | None = 40, target_bytes: int
     leaves: number of shards; None derives it from target_bytes. slot_rows: about how many rows are numbered together."""
     stash = Stash(docs.sparkSession, "sharding")
     rows = stash.put(coordinates(docs).withColumn("node", F.lit(0).cast("long")), "rows")
-    n, total, lo, hi = rows.agg(F.count("*"), F.sum("size"), F.min("id_key"), F.max("id_key")).first()
+    n, total = rows.agg(F.count("*"), F.sum("size")).first()
     leaves = leaves or max(1, -(-(total or 0) // target_bytes))
-    rows = assign(rows, leaves, (lo, hi), stash) if n else rows.withColumn("shard", F.lit(0))
+    rows = assign(rows, leaves, stash) if n else rows.withColumn("shard", F.lit(0))
     subs = max(1, n // leaves // slot_rows + 1)
     rows = stash.put(rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(subs)).cast("int").alias("sub")), "shards")
     counts = rows.groupBy("shard", "sub").agg(F.count("*").alias("c"))
