@@ -100,7 +100,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordIds(dict):
     """Bytes of a word to a 64-bit hash, remembered; the memory is emptied when it holds `limit` words."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 60_000):
         super().__init__()
         self.limit = limit
 

@@ -92,7 +92,7 @@ class Head:
 class Places(dict):
     """A word's place in the head, or -1 - place in `others` for a word that isn't there."""
 
-    def __init__(self, head: Head, limit: int = 300_000):
+    def __init__(self, head: Head, limit: int = 150_000):
         super().__init__()
         self.head, self.limit, self.others = head, limit, []
 
@@ -112,7 +112,7 @@ class Places(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def count_words(texts: DataFrame, flush: int = 300_000) -> DataFrame:
+def count_words(texts: DataFrame, flush: int = 200_000) -> DataFrame:
     """texts (text) -> hash, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

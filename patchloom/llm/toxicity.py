@@ -69,7 +69,7 @@ class Grammar:
         """Terminal -> the largest weight that the product of the transducers gave it in any clause."""
         tokens = TOKEN.findall(text.lower()) if text else []
         seen = self.seen
-        if len(seen) > 150_000:
+        if len(seen) > 60_000:
             seen.clear()
         for w in set(tokens).difference(seen):
             seen[w] = self.terminals(w)
