@@ -29,6 +29,7 @@ def context_topk(found: DataFrame, most: int = MOST_SYMBOLS) -> DataFrame:
 
 def context_text(top: DataFrame, symbols: DataFrame, budget: int = MOST_BYTES) -> DataFrame:
     """patch_id, context: entries in rank order up to the first that would exceed the budget."""
+    # fixed value: the format of an entry, on which its bytes depend
     entry = F.concat(F.lit("\n--- Arch Reference: "), F.col("name"), F.lit(" (from "), F.col("file"), F.lit(") ---\n"), F.col("snippet"), F.lit("\n"))
     x = top.join(symbols.select("name", "file", "snippet"), "name").withColumn("entry", entry)
     by = Window.partitionBy("patch_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

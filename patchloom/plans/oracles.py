@@ -123,7 +123,7 @@ def _category(s: str) -> str:
     return f"CASE WHEN lower({s}) IN ('security', 'performance', 'maintainability', 'compliance') THEN lower({s}) ELSE 'quality' END"
 
 
-#: The usable rules of the queries, again: number, pattern, message, severity, category, globs.
+#: The usable rules of the queries, again: number, pattern, message, severity, category, globs.
 RULES = (
     (0, r"console\.log", "Remove debug logging before merging to production", "medium", "quality", ("*.ts", "*.js", "*.tsx", "*.jsx")),
     (1, r"password\s*=\s*[\"'][^\"']+[\"']", "Hardcoded password — use environment variables or a secrets manager", "high", "security", ()),
