@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 
     x, _ = labelled(components(links, stash))
     met = x.join(x.select(*other), (F.col("key") == F.col("key_b")) & (F.col("label") != F.col("label_b")) & alike(), "left_semi")
-    links = stash.put(links.unionByName(stash.put(confirmed_in_blocks(met.select("key", "rep", "label"), reps, docs, k, percent), "links")), "links")
+    met = stash.put(met.select("key", "rep", "label"), "met")  # written first, so that a band of many members may be split
+    links = stash.put(links.unionByName(stash.put(confirmed_in_blocks(met, reps, docs, k, percent), "links")), "links")
     comp = components(links, stash)
 
     ids = reps.select("n", "d1", "d2", "rep")
