@@ -36,7 +36,7 @@ def grams(text: str | None, orders: int = ORDERS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     letter = _letters()[x]
-    x = np.where(letter, x & 0xFFFF, 0).astype(np.uint64)
+    x = np.where(letter, np.maximum(x & 0xFFFF, 1), 0).astype(np.uint64)
     x = np.concatenate([[0], x, [0]]).astype(np.uint64)
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] > 0) | (x[:-1] > 0)
