@@ -256,7 +256,7 @@ SQL: dict[str, str] = {
     "review_gate": f"WITH {LINES}, {ALL} SELECT p.patch_id, count(f.patch_id) AS findings, CASE WHEN count(f.patch_id) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT DISTINCT patch_id FROM lines) p LEFT JOIN (SELECT patch_id FROM findings WHERE severity = 'high') f ON f.patch_id = p.patch_id GROUP BY p.patch_id",
     "review_outcome": f"WITH {LINES}, {D3}, {ANSWERS} SELECT p.patch_id, CASE WHEN p.patch_id IN (SELECT patch_id FROM d3 WHERE severity = 'high') THEN 'findings' WHEN p.patch_id IN (SELECT patch_id FROM answers WHERE k = 5) THEN 'skipped' ELSE 'clean' END AS outcome FROM (SELECT DISTINCT patch_id FROM lines) p",
     "report_json": f"WITH {LINES}, {ALL}, {NOTES}, f AS (SELECT patch_id, count(*) AS c, arg_min(issue, seq) AS i FROM findings WHERE severity <> 'low' GROUP BY patch_id), n AS (SELECT patch_id, string_agg(text, '|' ORDER BY chunk_seq, seq) AS t, (count(*) // 3)::BIGINT AS s FROM notes GROUP BY patch_id) SELECT patch_id, coalesce(c, 0)::BIGINT AS n_findings, coalesce(t, '') AS positives, coalesce(s, 0)::BIGINT AS n_suggestions, i AS first_issue FROM f FULL JOIN n USING (patch_id)",
-    "wrapped_issue": f"SELECT doc_id, {_wrapped('text')} AS wrapped FROM documents WHERE length(text) < 1000",
+    "wrapped_issue": f"SELECT doc_id, {_wrapped('text')} AS wrapped FROM documents",
     "finding_text": f"WITH {LINES}, {ALL}, numbered_ AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY seq) AS n FROM findings) SELECT patch_id, n, md5({BLOCK}) AS digest FROM numbered_",
     "ticket_preview": f"WITH {TICKETS} SELECT patch_id, left(text, 60) || CASE WHEN strlen(text) > 60 THEN '...' ELSE '' END AS preview FROM tickets",
     "model_lookup": f"WITH {_models} SELECT n_nationkey, id, name, size_gb FROM (SELECT n_nationkey, ['0.5b', '7b', '13b', '32B', '32b'][n_nationkey % 5 + 1] AS id FROM nation) JOIN models USING (id)",

@@ -354,7 +354,7 @@ def report_json(spark, sf_dir):
 
 @query
 def wrapped_issue(spark, sf_dir):
-    docs = fixtures.read(spark, sf_dir, "documents").where(F.length("text") < 1000)
+    docs = fixtures.read(spark, sf_dir, "documents")
     return docs.select("doc_id", report.wrap_text(F.col("text")).alias("wrapped"))
 
 
