@@ -247,6 +247,7 @@ SQL: dict[str, str] = {
     "json_slices": f"WITH {ANSWERS} SELECT patch_id, chunk_seq, nullif(regexp_extract(response, '(?s)[{{].*[}}]'), '') AS object_slice, nullif(regexp_extract(response, '(?s)\\[.*\\]'), '') AS list_slice FROM answers",
     "decoded_findings": f"WITH {ANSWERS}, {DECODED} SELECT * FROM decoded",
     "skipped_chunks": f"WITH {ANSWERS} SELECT patch_id, sum(CASE WHEN k IN ({', '.join(str(i) for i, e in enumerate(EXPECTED) if e[0] == 'bad_json')}) THEN 1 ELSE 0 END)::BIGINT AS skipped FROM answers GROUP BY patch_id",
+    "generated_reviews": f"WITH {LINES}, {_chunks(40, 200)}, {NUMBERED} SELECT patch_id, count(*) AS chunks, count(*) AS ok FROM numbered GROUP BY patch_id",
     "pr_decoded": "SELECT event_id AS patch_id, event_id % 4 IN (0, 2) AS valid, CASE WHEN event_id % 4 = 0 THEN 'Add it' ELSE '' END AS title, CASE event_id % 4 WHEN 0 THEN 'a|b' WHEN 2 THEN 'only' ELSE '' END AS summary, 0::BIGINT AS steps FROM events",
     "commit_decoded": "SELECT event_id AS patch_id, event_id % 4 <> 3 AS valid, CASE event_id % 4 WHEN 0 THEN 'fix: it' WHEN 2 THEN 'a' ELSE '' END AS message, CASE WHEN event_id % 4 = 1 THEN 'b' ELSE '' END AS body FROM events",
     "all_findings": f"WITH {LINES}, {ALL} SELECT patch_id, seq, file, line, severity, category, issue FROM findings",
