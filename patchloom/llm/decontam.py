@@ -3,12 +3,13 @@
 Passages are overlapping windows of words, weighted by TF-IDF over the words of the benchmark; document frequencies
 cover every document. A distributed randomised SVD of the benchmark's passages gives the latent space: each partition
 adds up its share of A'(A Q), the driver orthonormalises, and a second pass refines the first; directions are whitened,
-so common words don't rule the cosine. Every window of every document is compared with every benchmark item; what is
-near enough is checked by the longest common subsequence of words around the window and by the item's answer, its
-rarest words, so that reworded passages count and mere common words don't.
+so common words don't rule the cosine. Every window of every document is compared with every passage of every benchmark
+item; what is near enough is checked by the longest common subsequence of words around the window and by the item's
+answer, its rarest words, so that reworded passages count and mere common words don't. Long items are checked section by
+section, and one section that is found is enough.
 
-Items are indexed and searched in blocks of `block`, so what is broadcast and what partitions send to the driver is
-bounded however large the benchmark is.
+Items are indexed and searched in blocks of `block`, of fewer where they are long, so what is broadcast and what
+partitions send to the driver is bounded however large the benchmark is.
 
 Null or empty texts hold no passage, and null or empty items match nothing. Repeated rows are each searched. With an
 empty table there are no hits. Columns other than doc_id, item_id and text are ignored.
@@ -27,6 +28,8 @@ from .common import Stash, slices
 
 RANK = 96
 HALF = 16  # words of half a window
+STEP = 8  # words between the starts of an item's passages
+SECTION = 6 * HALF  # words of a section of an item; neighbours share a window's words
 #: ASCII other than letters, digits and the underscore separates words.
 SPLIT = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
@@ -127,7 +130,10 @@ def latent_basis(items: DataFrame, vocabulary, idf: np.ndarray, rank: int = RANK
 
 
 class Index:
-    """Benchmark items in the latent space, with what the checks of a candidate need."""
+    """Benchmark items in the latent space, with what the checks of a candidate need.
+
+    An item is cut into sections of at most SECTION words, which are checked one by one, and these into passages of a
+    window's words and of half as many, which have the vectors: no cosine and no check depends on an item's length."""
 
     def __init__(self, items: list[tuple[int, str]], vocabulary: Vocabulary, idf: np.ndarray, basis: np.ndarray, near: float, lcs: float, loose: float, answer: float):
         self.vocabulary = vocabulary
@@ -135,9 +141,23 @@ class Index:
         self.weighted = basis * idf[:, None]
         kept = [(i, vocabulary.ids(t)) for i, t in items]
         kept = [(i, x) for i, x in kept if len(x)]
-        self.ids, self.words = [i for i, _ in kept], [x.tolist() for _, x in kept]
-        v = np.array([self.weighted[x].sum(axis=0) for _, x in kept]).reshape(len(kept), basis.shape[1])
+        self.ids = [i for i, _ in kept]
+        self.words, self.item, vectors, sections = [], [], [], []
+        for k, (_, x) in enumerate(kept):
+            for at in range(0, max(1, len(x) - 2 * HALF), SECTION - 2 * HALF):
+                own = x[at : at + SECTION]
+                for size in (2 * HALF, HALF):
+                    last = max(0, len(own) - size)
+                    for start in (*range(0, last, STEP), last):
+                        vectors.append(self.weighted[own[start : start + size]].sum(axis=0))
+                        sections.append(len(self.words))
+                    if len(own) <= HALF:
+                        break
+                self.words.append(own.tolist())
+                self.item.append(k)
+        v = np.array(vectors).reshape(len(vectors), basis.shape[1])
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32).T
+        self.section = np.array(sections, np.int64)
         self.masks, self.answers, self.counts = [], [], []
         for x in self.words:
             mask: dict[int, int] = {}
@@ -149,7 +169,7 @@ class Index:
             self.answers.append(frozenset(rare[: max(1, len(rare) // 4)]))
 
     def common(self, k: int, text: list[int]) -> float:
-        """Length of the longest common subsequence of item k and a run of words, as a share of the item."""
+        """Length of the longest common subsequence of section k and a run of words, as a share of the section."""
         mask, full = self.masks[k], (1 << len(self.words[k])) - 1
         v = full
         for w in text:
@@ -158,18 +178,28 @@ class Index:
                 v = ((v + u) | (v - u)) & full
         return (len(self.words[k]) - v.bit_count()) / len(self.words[k])
 
+    def candidates(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows and sections, sorted by section, of which a passage is near, and the largest cosine of each."""
+        at, section, cosine = [], [], []
+        for lo in range(0, len(self.section), 2048):
+            near = unit @ self.vectors[:, lo : lo + 2048]
+            a, p = np.nonzero(near >= self.near)
+            at.append(a)
+            section.append(self.section[lo + p])
+            cosine.append(near[a, p])
+        key, cosine = np.concatenate(section) * len(unit) + np.concatenate(at), np.concatenate(cosine)
+        order = np.lexsort((-cosine, key))
+        key, start = np.unique(key[order], return_index=True)
+        return key % len(unit), key // len(unit), cosine[order][start]
+
     def hits(self, ids: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text: item -> (cosine, common share, answer share) of what passes the checks."""
+        """For each text: item -> (cosine, common share, answer share) of its section that passes the checks best."""
         found: list[dict] = [{} for _ in ids]
         if not self.ids or not sum(map(len, ids)):
             return found
         unit, owner, first = windows(ids, self.weighted)
-        near = unit @ self.vectors
-        at, item = np.nonzero(near >= self.near)
-        cosine = near[at, item]
-        order = np.lexsort((at, item))
         runs: list[list] = []
-        for a, k, c in zip(at[order].tolist(), item[order].tolist(), cosine[order].tolist(), strict=True):
+        for a, k, c in zip(*(x.tolist() for x in self.candidates(unit)), strict=True):
             if runs and runs[-1][0] == k and runs[-1][2] + 1 >= a and owner[a] == owner[runs[-1][1]] and a - runs[-1][1] < 8:
                 runs[-1][2], runs[-1][3] = a, max(c, runs[-1][3])
             else:
@@ -185,8 +215,8 @@ class Index:
             if share < self.loose:
                 continue
             answer = len(self.answers[k].intersection(near_words)) / len(self.answers[k])
-            if (share >= self.lcs or answer >= self.answer) and share > found[text].get(k, (0, 0, 0))[1]:
-                found[text][k] = (c, share, answer)
+            if (share >= self.lcs or answer >= self.answer) and share > found[text].get(self.item[k], (0, 0, 0))[1]:
+                found[text][self.item[k]] = (c, share, answer)
         return found
 
 
@@ -207,7 +237,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: flo
     spark = docs.sparkSession
     stash = Stash(spark, "decontam")
     items = stash.put(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"), "items")
-    blocks, out = -(-items.count() // block), []
+    rows, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks, out = max(-(-rows // block), -(-chars // (block * 1_000))), []
     for i in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -201,6 +201,22 @@ def decontam_ids(docs, bench):
     return {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()}
 
 
+def test_verbatim_leaks_of_long_items(spark):
+    r = random.Random(14)
+    word = lambda: f"{r.choice('an er th ion es le que sch'.split())}{int(r.paretovariate(0.6)) % 5000}"
+    run = lambda n: [word() for _ in range(n)]
+    items = [run(n) for n in (200, 300, 450, 700, 1000) for _ in range(8)]
+    texts = {}
+    for k, item in enumerate(items):
+        own = run(r.randrange(50, 1500))
+        at = r.randrange(len(own))
+        texts[k], texts[1000 + k] = " ".join(own[:at] + item + own[at:]), " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for block in (2000, 15):
+        assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench, block=block).collect()} == {(k, k) for k in range(len(items))}
+
+
 def test_common_subsequence_by_force():
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(1, 70)))) for i in range(20)]
