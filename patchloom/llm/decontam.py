@@ -5,8 +5,9 @@ cover every document. A distributed randomised SVD of the benchmark's passages g
 adds up its share of A'(A Q), the driver orthonormalises, and a second pass refines the first; directions are whitened,
 so common words don't rule the cosine. Every window of every document is compared with every passage of every benchmark
 item; what is near enough is checked by the longest common subsequence of words around the window and by the item's
-answer, its rarest words, so that reworded passages count and mere common words don't. Long items are checked section by
-section, and one section that is found is enough.
+answer, its rarest words, so that reworded passages count and mere common words don't, or by a quotation, a run of words
+in the item's own order without gaps. Long items are checked section by section and passage by passage, and one that is
+found is enough.
 
 Items are indexed and searched in blocks of `block`, of fewer where they are long, so what is broadcast and what
 partitions send to the driver is bounded however large the benchmark is.
@@ -28,6 +29,7 @@ from .common import Stash, slices
 
 RANK = 96
 HALF = 16  # words of half a window
+RUN = 13  # words of a quotation that is a hit of its own
 STEP = 8  # words between the starts of an item's passages
 SECTION = 6 * HALF  # words of a section of an item; neighbours share a window's words
 #: ASCII other than letters, digits and the underscore separates words.
@@ -142,7 +144,8 @@ class Index:
         kept = [(i, vocabulary.ids(t)) for i, t in items]
         kept = [(i, x) for i, x in kept if len(x)]
         self.ids = [i for i, _ in kept]
-        self.words, self.item, vectors, sections = [], [], [], []
+        self.idf, self.part, self.rare = idf, max(loose, 0.6), {}
+        self.words, self.item, self.spans, vectors, sections = [], [], [], [], []
         for k, (_, x) in enumerate(kept):
             for at in range(0, max(1, len(x) - 2 * HALF), SECTION - 2 * HALF):
                 own = x[at : at + SECTION]
@@ -151,6 +154,7 @@ class Index:
                     for start in (*range(0, last, STEP), last):
                         vectors.append(self.weighted[own[start : start + size]].sum(axis=0))
                         sections.append(len(self.words))
+                        self.spans.append((start, min(size, len(own))))
                     if len(own) <= HALF:
                         break
                 self.words.append(own.tolist())
@@ -165,32 +169,62 @@ class Index:
                 mask[w] = mask.get(w, 0) | 1 << i
             self.masks.append(mask)
             self.counts.append({w: m.bit_count() for w, m in mask.items()})
-            rare = sorted(set(x), key=lambda w: (-idf[w], w))
-            self.answers.append(frozenset(rare[: max(1, len(rare) // 4)]))
+            self.answers.append(self.rarest(x))
 
-    def common(self, k: int, text: list[int]) -> float:
-        """Length of the longest common subsequence of section k and a run of words, as a share of the section."""
-        mask, full = self.masks[k], (1 << len(self.words[k])) - 1
-        v = full
+    def rarest(self, words: list[int]) -> frozenset[int]:
+        rare = sorted(set(words), key=lambda w: (-self.idf[w], w))
+        return frozenset(rare[: max(1, len(rare) // 4)])
+
+    def common(self, k: int, text: list[int], start: int = 0, size: int | None = None) -> float:
+        """Length of the longest common subsequence of a run of words and section k, or `size` words of it, as a share."""
+        mask, size = self.masks[k], size or len(self.words[k])
+        v = full = (1 << size) - 1
         for w in text:
-            if m := mask.get(w):
+            if m := mask.get(w, 0) >> start & full:
                 u = v & m
                 v = ((v + u) | (v - u)) & full
-        return (len(self.words[k]) - v.bit_count()) / len(self.words[k])
-
-    def candidates(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows and sections, sorted by section, of which a passage is near, and the largest cosine of each."""
-        at, section, cosine = [], [], []
+        return (size - v.bit_count()) / size
+
+    def answered(self, rare: frozenset[int], text: list[int]) -> bool:
+        """Whether a run of words has enough of the rarest words; two of them may be there by chance."""
+        return len(rare.intersection(text)) >= max(self.answer * len(rare), min(3, len(rare)))
+
+    def quoted(self, k: int, text: list[int]) -> bool:
+        """Whether RUN words of section k, or half of a shorter one but at least 8, stand side by side in a run of words."""
+        words, n = len(self.words[k]), 1
+        least = min(RUN, max(8, -(-words // 2)), words)
+        if b"\1" * least not in bytes(map(self.masks[k].__contains__, text)):
+            return False
+        ends = [self.masks[k].get(w, 0) for w in text]  # bit i: the last n words are those up to word i
+        while n < least and any(ends):
+            step = min(n, least - n)
+            ends = [e & b << step for e, b in zip(ends[step:], ends, strict=False)]
+            n += step
+        return any(ends)
+
+    def reworded(self, k: int, text: list[int], p: int) -> bool:
+        """Whether passage p of section k, a whole window's and shorter than k, is in a run of words, some words replaced."""
+        start, size = self.spans[p]
+        if not 2 * HALF <= size < len(self.words[k]):
+            return False
+        if p not in self.rare:
+            self.rare[p] = self.rarest(self.words[k][start : start + size])
+        return self.answered(self.rare[p], text) and self.common(k, text, start, size) >= self.part
+
+    def candidates(self, unit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows and sections, sorted by section, of which a passage is near; the largest cosine and its passage."""
+        at, passage, cosine = [], [], []
         for lo in range(0, len(self.section), 2048):
             near = unit @ self.vectors[:, lo : lo + 2048]
             a, p = np.nonzero(near >= self.near)
             at.append(a)
-            section.append(self.section[lo + p])
+            passage.append(lo + p)
             cosine.append(near[a, p])
-        key, cosine = np.concatenate(section) * len(unit) + np.concatenate(at), np.concatenate(cosine)
+        passage, cosine = np.concatenate(passage), np.concatenate(cosine)
+        key = self.section[passage] * len(unit) + np.concatenate(at)
         order = np.lexsort((-cosine, key))
         key, start = np.unique(key[order], return_index=True)
-        return key % len(unit), key // len(unit), cosine[order][start]
+        return key % len(unit), key // len(unit), cosine[order][start], passage[order][start]
 
     def hits(self, ids: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text: item -> (cosine, common share, answer share) of its section that passes the checks best."""
@@ -199,24 +233,28 @@ class Index:
             return found
         unit, owner, first = windows(ids, self.weighted)
         runs: list[list] = []
-        for a, k, c in zip(*(x.tolist() for x in self.candidates(unit)), strict=True):
+        for a, k, c, p in zip(*(x.tolist() for x in self.candidates(unit)), strict=True):
             if runs and runs[-1][0] == k and runs[-1][2] + 1 >= a and owner[a] == owner[runs[-1][1]] and a - runs[-1][1] < 8:
-                runs[-1][2], runs[-1][3] = a, max(c, runs[-1][3])
+                runs[-1][2:] = a, *max(tuple(runs[-1][3:]), (c, p, a))
             else:
-                runs.append([k, a, a, c])
-        for k, a, z, c in runs:
+                runs.append([k, a, a, c, p, a])
+        for k, a, z, c, p, best in runs:
             text, reach = int(owner[a]), len(self.words[k])
             lo = max(0, int(first[a]) * HALF - reach)
             near_words = ids[text][lo : int(first[z]) * HALF + 2 * HALF + reach].tolist()
             # a word that isn't there at all is in no common subsequence
-            if reach - sum(map(self.counts[k].__getitem__, set(self.masks[k]).difference(near_words))) < self.loose * reach:
-                continue
-            share = self.common(k, near_words)
-            if share < self.loose:
+            most = reach - sum(map(self.counts[k].__getitem__, set(self.masks[k]).difference(near_words)))
+            if most < min(self.loose * reach, RUN):
                 continue
-            answer = len(self.answers[k].intersection(near_words)) / len(self.answers[k])
-            if (share >= self.lcs or answer >= self.answer) and share > found[text].get(self.item[k], (0, 0, 0))[1]:
-                found[text][self.item[k]] = (c, share, answer)
+            share = -1.0
+            if most >= self.lcs * reach or most >= self.loose * reach and self.answered(self.answers[k], near_words):
+                share = self.common(k, near_words)
+            hit = share >= self.lcs or share >= self.loose and self.answered(self.answers[k], near_words)
+            middle = int(first[best]) * HALF
+            if hit or self.quoted(k, near_words) or self.reworded(k, ids[text][max(0, middle - HALF) : middle + 3 * HALF].tolist(), p):
+                share = self.common(k, near_words) if share < 0 else share
+                if share > found[text].get(self.item[k], (0, 0, 0))[1]:
+                    found[text][self.item[k]] = (c, share, len(self.answers[k].intersection(near_words)) / len(self.answers[k]))
         return found
 
 
@@ -231,9 +269,9 @@ def _batches(ids: list[np.ndarray], most: int = 60_000) -> Iterator[tuple[int, i
         yield start, len(ids)
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: float = 0.55, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.75) -> list:
+def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: float = 0.55, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.4) -> list:
     """Broadcast indexes, one for each block of items. near: least cosine of a candidate. lcs: least common share of a
-    hit; loose: least share where at least `answer` of the item's rarest words are there too."""
+    hit; loose: least share where at least `answer` of the item's rarest words, and three, are there too."""
     spark = docs.sparkSession
     stash = Stash(spark, "decontam")
     items = stash.put(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null"), "items")

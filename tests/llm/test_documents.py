@@ -217,6 +217,34 @@ def test_verbatim_leaks_of_long_items(spark):
         assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench, block=block).collect()} == {(k, k) for k in range(len(items))}
 
 
+def test_reworded_and_quoted_leaks(spark):
+    r = random.Random(15)
+    word = lambda: f"{r.choice('an er th ion es le que sch'.split())}{int(r.paretovariate(0.6)) % 5000}"
+    run = lambda n: [word() for _ in range(n)]
+    items = [run(r.randrange(16, 60)) for _ in range(50)] + [run(300) for _ in range(10)]
+
+    def quote(item, share):
+        n = max(8, math.ceil(len(item) * share))
+        at = r.randrange(len(item) - n + 1)
+        return item[at : at + n]
+
+    kinds = {(0.2, 0): 0.93, (0.3, 0): 0.85, (0.4, 0): 0.65, (0, 0.5): 0.95, (0, 0.7): 0.97}
+    texts = {}
+    for kind, (swap, share) in enumerate(kinds):
+        for k, item in enumerate(items):
+            own = run(r.randrange(50, 400))
+            at = r.randrange(len(own))
+            own[at:at] = quote(item, share) if share else [word() if r.random() < swap else w for w in item]
+            texts[kind * 100 + k] = " ".join(own)
+    texts |= {1000 + k: " ".join(run(r.randrange(50, 400))) for k in range(300)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench).collect()}
+    for kind, (what, least) in enumerate(kinds.items()):
+        assert sum((kind * 100 + k, k) in got for k in range(len(items))) >= least * len(items), what
+    assert all(d < 1000 and i == d % 100 for d, i in got)
+
+
 def test_common_subsequence_by_force():
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(1, 70)))) for i in range(20)]
