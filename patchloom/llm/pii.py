@@ -36,6 +36,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Generators beyond the base.
 LONG_TOKEN = re.compile(r"[A-Za-z0-9_/+=-]{16,}")
 NUMBER = re.compile(r"[(]?[0-9][0-9 ().-]{6,}[0-9]")
+GROUP = re.compile("[(]?[0-9]+")
+AT = re.compile(r"\(at\)|\[at\]| at ")  # what every disguised address holds
 DISGUISED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,64}(?: ?(?:\(dot\)|\[dot\]| dot |\.) ?[A-Za-z]{2,24}){1,4}")
 HINTS = {
     "secret": frozenset("token secret key password passwd pwd auth bearer apikey credential".split()),
@@ -44,6 +46,7 @@ HINTS = {
     "ip": frozenset("ip host server address addr ipv4 gateway".split()),
     "email": frozenset("mail email contact reach write e".split()),
 }
+NEXT_LEFT, NEXT_RIGHT = re.compile("(?<=[0-9])([ ().-]+)\\Z"), re.compile("([ ().-]+)(?=[0-9])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,6 +87,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def numbers(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """Phone and card proposals in a run of digit groups: every start and end at groups, longest first, so that numbers
+    side by side are proposed each. At most 19 groups are in one, so proposals are linear in the run."""
+    groups = [(g.start(), g.end(), g.end() - g.start() - (text[g.start()] == "(")) for g in GROUP.finditer(text, start, end)]
+    out = []
+    for i, (first, _, _) in enumerate(groups):
+        n, own = 0, []
+        for _, last, digits in groups[i : i + 19]:
+            n += digits
+            if n > 19:
+                break
+            if last - first - (text[first] == "(") < 8:
+                continue
+            if 7 <= n <= 15:
+                own.append((first, 3, last))
+            if n >= 13:
+                own.append((first, 2, last))
+        out += own[::-1]
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Overlapping proposals of all generators: (start, kind number, end)."""
     out = []
@@ -99,8 +123,13 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             out.append((m.start(), 2, m.end()))
     for m in IP.finditer(text):
         out.append((m.start(), 1, m.end()))
-    if "at" in text and ("(at)" in text or "[at]" in text or " dot " in text):
-        out += [(m.start(), 0, m.end()) for m in DISGUISED.finditer(text)]
+    for m in AT.finditer(text):
+        end = m.start() - text.startswith(" ", max(0, m.start() - 1), m.start())
+        start = end
+        while start and end - start < 64 and text[start - 1] in LOCAL_CHARS:
+            start -= 1
+        if start < end and (found := DISGUISED.match(text, start)):
+            out.append((start, 0, found.end()))
     return out
 
 
@@ -119,6 +148,12 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
     out = [kind, n, digits / n, letters / n, upper / n, entropy, switches / n, len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), s.count(" "), s.count("-"), s.count("."), s.count("(")]
     out += [float(any(w in HINTS[k] for w in words)) for k in KINDS]
     out += [float(before[-1:] in "\"'=:") if before else 0.0, float(text[end : end + 1].isalnum()), float(before[-1:].isalnum()), float(bool(re.fullmatch("[0-9a-f]+", s))), max((int(g) for g in groups if len(g) < 6), default=0)]
+    # what a cut run of digit groups looks like: groups at its ends, kinds of separators, digits that go on beyond them
+    seps = re.findall("[^0-9]+", s) if kind in (2, 3) else []
+    sizes = list(map(len, groups)) or [0]
+    left, right = NEXT_LEFT.search(text, max(0, start - 6), start), NEXT_RIGHT.match(text, end)
+    out += [sizes[0], sizes[-1], len(set(seps)), float(left is not None), float(right is not None), float(left is not None and left[1] in seps), float(right is not None and right[1] in seps), float(left is not None and left[1] == " "), float(right is not None and right[1] in (" ", " ("))]
+    out += [float(bool(re.search(r"\. |\.[A-Z]", s))), float("(" in s or "[" in s)]
     return out
 
 
@@ -176,6 +211,24 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, int, int, int, int]]:
     mixed = lambda k: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-") for _ in range(k))
     word = lambda: "".join(r.choice(("an", "er", "th", "ion", "es", "le", "que", "sch", "ó", "en", "ment", "ti")) for _ in range(r.randint(1, 3)))
     hint = lambda k: r.choice(sorted(HINTS[k]))
+    phone = lambda: r.choice((f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}"))
+    card = lambda: r.choice((" ", "-")).join(d(4) for _ in range(4))
+
+    def beside(kind: str | None) -> tuple[str, str, str, int]:
+        """Numbers side by side, cut at one of the kind; at a wrong place for none."""
+        while True:
+            kinds = [r.choice(("phone", "phone", "card")) for _ in range(r.randint(2, 4))]
+            parts = [(k, phone() if k == "phone" else card()) for k in kinds]
+            run, own, at = " ".join(x for _, x in parts), [], 0
+            for k, x in parts:
+                own.append((at, KINDS.index(k), at + len(x)))
+                at += len(x) + 1
+            fit = [c for c in own if KINDS[c[1]] == kind] if kind else [c for c in numbers(run, 0, len(run)) if c not in own]
+            if fit:
+                start, found, end = r.choice(fit)
+                lead = r.choice((f"{word()} ", f"{hint('phone')} ", f"{hint('card')} "))
+                return lead + run[:start], run[start:end], run[end:] + " ", found
+
     makers = [
         (1, "secret", lambda: (f'{hint("secret")} = "', hexes(r.choice((32, 40, 64))), '"')),
         (1, "secret", lambda: (f"{hint('secret')}: ", mixed(r.randint(20, 44)), " ")),
@@ -195,18 +248,24 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, int, int, int, int]]:
         (0, "ip", lambda: (f"{word()} ", ".".join(d(r.randint(1, 4)) for _ in range(4)), f" {word()}")),
         (1, "email", lambda: (f"{hint('email')} ", f"{word()}.{word()}{r.choice((' at ', ' (at) ', '[at]'))}{word()}{r.choice((' dot ', ' (dot) ', '.'))}{r.choice(('com', 'org', 'net', 'de'))}", " ")),
         (0, "email", lambda: (f"{word()} ", f"{word()} at {word()} dot {word()}", f" {word()}")),
+        (1, "email", lambda: (f"{word()} ", f"{word()}.{word()}{r.choice((' at ', ' (at) ', ' [at] '))}{word()}{r.choice((' (dot) ', ' [dot] ', '.'))}{r.choice(('com', 'org', 'net', 'de'))}", f" {word()}")),
+        (0, "email", lambda: (f"{word()} ", f"{word()} at {word()}{r.choice(('. ', '. ', '.'))}{word().capitalize()}", f" {word()}")),
+        (0, "email", lambda: (f"{word()} ", f"{word()} at {word()}. {word().capitalize()}", " ")),
+        *[(1, "phone", lambda: beside("phone"))] * 2,
+        *[(1, "card", lambda: beside("card"))] * 2,
+        *[(0, None, lambda: beside(None))] * 6,
     ]
     out = []
     for i in range(n):
         label, kind, make = makers[i % len(makers)]
-        a, s, b = make()
+        a, s, b, *found = make()
         lead = " ".join(word() for _ in range(4)) + " "
-        out.append((lead + a + s + b + word(), len(lead + a), KINDS.index(kind), len(lead + a + s), label))
+        out.append((lead + a + s + b + word(), len(lead + a), found[0] if found else KINDS.index(kind), len(lead + a + s), label))
     return out
 
 
 class Model:
-    def __init__(self, n: int = 5_400, precision: float = 0.98, seed: int = 11):
+    def __init__(self, n: int = 9_000, precision: float = 0.98, seed: int = 11):
         own = examples(n, seed)
         random.Random(seed).shuffle(own)
         x = np.array([features(t, s, k, e) for t, s, k, e, _ in own])
@@ -227,18 +286,23 @@ class Model:
         own = candidates(text)
         if not own:
             return base
-        taken = sorted((s, e) for s, _, e in base)
-        free = [c for c in own if not any(s < c[2] and c[0] < e for s, e in taken)]
-        if not free:
-            return base
-        x = np.array([features(text, *c) for c in free])
-        z = self.trees.margin(x) - self.threshold[x[:, 0].astype(int)]
+        used = bytearray(len(text))  # code points of what is selected
+        for s, _, e in base:
+            used[s:e] = b"\1" * (e - s)
+        free = [c for c in own if used.find(1, c[0], c[2]) < 0]
+        fit, margin = [], []
+        for at in range(0, len(free), 2_000):
+            x = np.array([features(text, *c) for c in free[at : at + 2_000]])
+            z = self.trees.margin(x) - self.threshold[x[:, 0].astype(int)]
+            good = np.flatnonzero(z >= 0)
+            fit += [free[at + i] for i in good.tolist()]
+            margin += z[good].tolist()
         out: list[tuple[int, int, int]] = []
-        for i in np.argsort(-z, kind="stable").tolist():
-            if z[i] < 0:
-                break
-            if not any(s < free[i][2] and free[i][0] < e for s, _, e in out):
-                out.append(free[i])
+        for i in np.argsort(-np.array(margin), kind="stable").tolist():
+            s, _, e = fit[i]
+            if used.find(1, s, e) < 0:
+                out.append(fit[i])
+                used[s:e] = b"\1" * (e - s)
         return sorted(base + out)
 
 

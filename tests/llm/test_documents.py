@@ -365,6 +365,15 @@ def test_candidates_that_trees_select():
     assert pii.masked("mail bob@example.com or +1 (217) 555-1234 now") == "mail [EMAIL] or [PHONE] now"
 
 
+@pytest.mark.parametrize("text", ["anna.er at mail.org", "anna.er at mail (dot) org", "anna.er at mail [dot] org", "anna.er(at)mail.org"])
+def test_disguised_addresses_without_other_signs(text):
+    for own in (text, f"write to {text} now", f"see you. {text}, or x (at) y. A dot in it"):
+        assert any(own[s:e] == text for s, k, e in pii.candidates(own) if k == 0)
+        assert text not in pii.masked(own) and "[EMAIL]" in pii.masked(own)
+    prose = "we arrived at noon. Then we left, and looked at this. It was late"
+    assert pii.masked(prose) == prose
+
+
 def test_long_texts_are_linear():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 100_000, "@" * 100_000, "a.b@" * 30_000, "1." * 100_000):
         pii.base_spans(t)
