@@ -116,11 +116,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         if any(c.isdigit() for c in s) and not s.isdigit():
             out.append((m.start(), 4, m.end()))
     for m in NUMBER.finditer(text):
-        n = len(_digits(m.group()))
-        if 7 <= n <= 15:
-            out.append((m.start(), 3, m.end()))
-        if 13 <= n <= 19:
-            out.append((m.start(), 2, m.end()))
+        out += numbers(text, m.start(), m.end())
     for m in IP.finditer(text):
         out.append((m.start(), 1, m.end()))
     for m in AT.finditer(text):

@@ -374,6 +374,16 @@ def test_disguised_addresses_without_other_signs(text):
     assert pii.masked(prose) == prose
 
 
+def test_numbers_side_by_side():
+    find = lambda t: [(pii.KINDS[k], t[s:e]) for s, k, e in pii.model().spans(t, pii.base_spans(t))]
+    assert find("555-123-4567 555-987-6543 555-222-3333") == [("phone", "555-123-4567"), ("phone", "555-987-6543"), ("phone", "555-222-3333")]
+    assert find("call 555-123-4567 4111 1111 1111 1111 now") == [("phone", "555-123-4567"), ("card", "4111 1111 1111 1111")]
+    assert find("phone (212) 555-0187 (212) 555-0188 today") == [("phone", "(212) 555-0187"), ("phone", "(212) 555-0188")]
+    for t in ("2024-01-15 2024-02-16 2023-11-30", "1 22 333 4 55 666 7 88 999 1 22", "3.14 2.71 1.41 100 200 300 400"):
+        assert find(t) == []
+    assert len(pii.candidates("1 " * 20_000)) < 20_000 * 19
+
+
 def test_long_texts_are_linear():
     for t in ("1" * 200_000, "a" * 200_000 + "@", "+1" * 100_000, "@" * 100_000, "a.b@" * 30_000, "1." * 100_000):
         pii.base_spans(t)
