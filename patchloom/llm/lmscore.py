@@ -7,7 +7,8 @@ words, any unknown word is one more type, with the share that words seen once ha
 
 Counts cover every training text: words are added up in each partition before they are shuffled. Words of at least the
 count that leaves at most `head` of them are broadcast, a proven bound; what remains of each text, its rare words, is
-joined to their counts by a hash of 64 bits and summed by text. So no vocabulary is too large and no word is dropped.
+joined to their counts by a hash of 64 bits and put back into the text before bigrams are counted and scored. So no
+vocabulary is too large, no word is dropped and every word that occurs twice keeps its class.
 
 A null text is an empty one: its only token is the end. With no training text every token has the probability that the
 base formula gives for empty counts. Rows with a null or repeated doc_id are scored each. Other columns are ignored.
@@ -133,43 +134,59 @@ def count_words(texts: DataFrame, flush: int = 200_000) -> DataFrame:
     return texts.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _head(vocabulary: DataFrame, head: int, clustered: int, texts: int) -> tuple[Head, int]:
-    """The head and the least count in it: the least, from 2 up, that leaves at most `head` words."""
+def band(n: np.ndarray, clustered: int) -> np.ndarray:
+    """Symbols of words that occur n >= 2 times and aren't clustered."""
+    return clustered + np.minimum(BANDS - 1, np.log2(np.maximum(n, 1)).astype(np.int64))
+
+
+def _head(vocabulary: DataFrame, head: int, clustered: int) -> tuple[Head, int]:
+    """The head and the least count in it, the clustered words apart: the least, from 2 up, that leaves at most `head` words."""
     at_least, total = 2, 0
     for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).limit(head + 1).toLocalIterator():
         total += r["count"]
         if total > head:
             at_least = max(at_least, r.n + 1)
             break
-    got = vocabulary.where(F.col("n") >= at_least).toArrow()
-    h, n = got["hash"].to_numpy(), got["n"].to_numpy()
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    symbols = clustered + np.minimum(BANDS - 1, np.log2(np.maximum(n, 1)).astype(np.int64))
+    often = vocabulary.where("n >= 2")
+    got, most = often.where(F.col("n") >= at_least).toArrow(), often.orderBy(F.desc("n"), "hash").limit(clustered).toArrow()
+    h, at = np.unique(np.concatenate([got["hash"].to_numpy(), most["hash"].to_numpy()]), return_index=True)
+    n = np.concatenate([got["n"].to_numpy(), most["n"].to_numpy()])[at]
+    symbols = band(n, clustered)
     top = np.lexsort((h, -n))[:clustered]
     symbols[top] = np.arange(len(top))
     return Head(h, n, symbols, clustered + BANDS, clustered + BANDS + 1), at_least
 
 
-def count_bigrams(texts: DataFrame, head) -> np.ndarray:
-    """Symbol bigrams of every text, each between two ends; a constant number of them, whatever the input."""
+def _symbols(b: pa.RecordBatch, head: Head, clustered: int) -> Iterator[np.ndarray]:
+    """The symbols of each text of a resolved batch (symbols, at, counts), those of tail words by their counts."""
+    for s, at, n in zip(*(b.column(b.schema.get_field_index(c)) for c in ("symbols", "at", "counts")), strict=True):
+        own = np.array(s.values) if len(s.values) else np.zeros(0, np.int64)
+        out = own < 0
+        if out.any():
+            of = np.full(-int(own.min()), head.rare)
+            if at.is_valid and len(at.values):
+                of[np.array(at.values)] = band(np.array(n.values), clustered)
+            own = np.where(out, of[np.where(out, -1 - own, 0)], own)
+        yield own
+
+
+def count_bigrams(texts: DataFrame, head, clustered: int) -> np.ndarray:
+    """Symbol bigrams of every resolved text, each between two ends."""
     size = head.value.end + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, total = Places(head.value), np.zeros(size * size, np.int64)
-        own = head.value
+        total, own = np.zeros(size * size, np.int64), head.value
         for b in slices(batches):
             rows = [[own.end]]
-            for t in as_bytes(b.column(0)):
-                i = places.of((t or b"").lower().split())
-                rows += [np.where(i < 0, own.rare, own.symbols[np.maximum(i, 0)]) if len(own.symbols) else np.full(len(i), own.rare), [own.end]]
+            for s in _symbols(b, own, clustered):
+                rows += [s, [own.end]]
             s = np.concatenate(rows).astype(np.int64)
             total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
     out = np.zeros(size * size)
-    got = texts.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.select("symbols", "at", "counts").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out[got["pair"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(size, size)
 
@@ -177,7 +194,8 @@ def count_bigrams(texts: DataFrame, head) -> np.ndarray:
 def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, clustered: int = 600, classes: int = 40, head: int = 400_000, prior: float = 5.0) -> DataFrame:
     """docs -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    clustered: words that exchange clustering assigns to `classes`. prior: weight of the class unigram in transitions."""
+    clustered: words that exchange clustering assigns to `classes`. prior: weight of the class unigram in transitions.
+    head: words that are broadcast; no result depends on it."""
     spark = docs.sparkSession
     stash = Stash(spark, "lmscore")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -186,52 +204,69 @@ def score_documents(docs: DataFrame, folds: int = 10, held: int = 0, clustered:
     texts = train.count()
     types, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     big_n, big_v = tokens + texts, types + bool(texts)
-    top, at_least = _head(vocabulary, head, clustered, texts)
+    top, at_least = _head(vocabulary, head, clustered)
     shared = spark.sparkContext.broadcast(top)
-    bigrams = count_bigrams(train, shared)
-    of = exchange(bigrams, clustered, classes)
-    k = of.max() + 1
-    member = np.zeros((len(of), k))
-    member[np.arange(len(of)), of] = 1
-    trans = member.T @ bigrams @ member
-    share = (trans.sum(0) + 0.5) / (trans.sum() + 0.5 * k)
-    trans = np.log10((trans + prior * share[None, :]) / (trans.sum(1, keepdims=True) + prior))
-    in_class = np.bincount(of[top.symbols], top.counts, minlength=k) if len(top.counts) else np.zeros(k)
-    emit = np.log10(top.counts / np.maximum(in_class[of[top.symbols]], 1)) if len(top.counts) else np.zeros(0)
-    rare_n, once = tokens - int(top.counts.sum()), vocabulary.where("n = 1").count()
-    unknown = min(0.9, (once + 0.5) / (rare_n + 1))
     base_all = big_n + 0.1 * (big_v + 1)
-    tables = spark.sparkContext.broadcast((trans, emit, of, np.log10(top.counts + 0.1) - math.log10(base_all)))
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
+    once = vocabulary.where("n = 1").count()
+    unknown = min(0.9, (once + 0.5) / (once + 1))
+    coded = "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, logs double, symbols array<int>, h array<long>, c array<long>"
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("logs", pa.float64()), ("symbols", pa.list_(pa.int32())), ("h", pa.list_(pa.int64())), ("c", pa.list_(pa.int64()))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Symbols of words of the head; -1 - place in h for any other word."""
         from pyspark import TaskContext
 
         own, places, row = shared.value, Places(shared.value), TaskContext.get().partitionId() << 36
-        trans, emit, of, base = tables.value
+        base, log = np.log10(own.counts + 0.1) - math.log10(base_all), np.log10(own.counts)
         end_base = math.log10(texts + 0.1) - math.log10(base_all)
         for b in slices(batches):
             ids, out = b.column(0).to_pylist(), []
             for t in as_bytes(b.column(1)):
                 i = places.of((t or b"").lower().split())
-                known = i[i >= 0]
-                s = np.full(len(i) + 2, own.end)
-                s[1:-1] = own.rare
-                s[1:-1][i >= 0] = own.symbols[known]
-                c = of[s]
-                rest, times = np.unique(-1 - i[i < 0], return_counts=True)
+                inside = i >= 0
+                known, s = i[inside], np.zeros(len(i), np.int32)
+                rest, which, times = np.unique(-1 - i[~inside], return_inverse=True, return_counts=True)
+                s[inside], s[~inside] = own.symbols[known], -1 - which
                 row += 1
-                out.append((row, len(i) + 1, len(known) + bool(texts), base[known].sum() + end_base - len(i[i < 0]) * math.log10(base_all), trans[c[:-1], c[1:]].sum() + emit[known].sum(), [places.others[j] for j in rest.tolist()], times))
-            cols = list(zip(*out, strict=True)) or [()] * 7
+                out.append((row, len(i) + 1, len(known) + bool(texts), base[known].sum() + end_base - len(which) * math.log10(base_all), log[known].sum(), s, [places.others[j] for j in rest.tolist()], times))
+            cols = list(zip(*out, strict=True)) or [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([ids, cols[0], fold_of(ids, folds) == held, *cols[1:]], schema, strict=True)], schema=schema)
 
-    scored = stash.put(docs.mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, model double, h array<long>, c array<long>"), "scored")
-    loose = scored.select("row", F.explode(F.arrays_zip("h", "c")).alias("x")).select("row", F.col("x.h").alias("hash"), "x.c")
+    encoded = stash.put(docs.mapInArrow(encode, coded), "encoded")
+    loose = encoded.select("row", F.posexplode(F.arrays_zip("h", "c")).alias("at", "x")).select("row", "at", F.col("x.h").alias("hash"), "x.c")
     tail = vocabulary.where(F.col("n") < at_least)
     log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1)) * F.col("c")
-    emitted = F.when(F.col("n").isNull(), math.log10(unknown)).otherwise(F.log10("n") + math.log10((1 - unknown) / max(1, rare_n))) * F.col("c")
-    rest = loose.join(tail, "hash", "left").groupBy("row").agg(F.sum(log).alias("rest"), F.sum(emitted).alias("rest_model"), F.sum(F.when(F.col("n").isNotNull(), F.col("c")).otherwise(0)).alias("more"))
-    out = scored.drop("h", "c").join(rest, "row", "left")
-    base = F.col("base") + F.coalesce("rest", F.lit(0.0))
-    model = F.col("model") + F.coalesce("rest_model", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(big_n).cast("long").alias("train_tokens"), base.alias("base_score"), (model if texts else base).alias("score"))
+    emitted = F.when(F.col("n").isNull(), math.log10(unknown)).when(F.col("n") == 1, math.log10((1 - unknown) / max(1, once))).otherwise(F.log10("n")) * F.col("c")
+    often = F.collect_list(F.when(F.col("n") >= 2, F.struct("at", "n")))
+    rest = loose.join(tail, "hash", "left").groupBy("row").agg(F.sum(log).alias("rest"), F.sum(emitted).alias("rest_logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("c")).otherwise(0)).alias("more"), often.alias("often"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    resolved = encoded.drop("h", "c").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).alias("n_known"), (F.col("base") + zero("rest")).alias("base"), (F.col("logs") + zero("rest_logs")).alias("logs"), "symbols", F.col("often.at").alias("at"), F.col("often.n").alias("counts"))
+    resolved = stash.put(resolved, "resolved")
+    stash.drop(encoded)
+
+    bigrams = count_bigrams(resolved.where("not held_out"), shared, clustered)
+    of = exchange(bigrams, clustered, classes)
+    k = of.max() + 1
+    member = np.zeros((len(of), k))
+    member[np.arange(len(of)), of] = 1
+    trans = member.T @ bigrams @ member
+    share = (trans.sum(0) + 0.5) / (trans.sum() + 0.5 * k)
+    trans = np.log10((trans + prior * share[None, :]) / (trans.sum(1, keepdims=True) + prior))
+    # a word's share of its class; that of rare words is in `logs` already
+    in_class = np.bincount(of, bigrams.sum(0), minlength=k)
+    in_class[of[[top.rare, top.end]]] = 1
+    tables = spark.sparkContext.broadcast((trans, np.log10(np.maximum(in_class, 1)), of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, (trans, within, of) = shared.value, tables.value
+        for b in slices(batches):
+            got = []
+            for s in _symbols(b, own, clustered):
+                c = of[np.concatenate([[own.end], s, [own.end]]).astype(np.int64)]
+                got.append(trans[c[:-1], c[1:]].sum() - within[c].sum())
+            model = np.array(b.column("logs")) + np.array(got, float)
+            keep = [b.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+            base = b.column("base")
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.full(b.num_rows, big_n)), base, pa.array(model) if texts else base], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return resolved.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -281,6 +281,13 @@ def test_base_scores_by_force(spark, docs, head):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_do_not_depend_on_the_head(spark, docs):
+    a, b = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lmscore.score_documents(docs, head=head, clustered=100, classes=12).collect()} for head in (400_000, 300))
+    assert a.keys() == b.keys()
+    for i, own in a.items():
+        assert own == pytest.approx(b[i], abs=1e-6)
+
+
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(1)
     truth = r.integers(0, 4, 60)
