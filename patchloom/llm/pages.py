@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text that they hold directly and by its links; the best one votes, with its
-generalised path of tags and classes (digits taken out), for its host. Votes are summed in Spark, and every page is
-extracted again from the container on its host's winning path, the next one that it has, or else its own best.
+Each page's containers are scored by the text that they hold at any depth less its links and junk; the best one votes,
+with its generalised path of tags and classes (digits taken out), for its host. Votes are summed in Spark, and every page
+is extracted again from all elements on its host's winning path, on the next one that it has, or else from its own best.
 
 The text is that of the container without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
 markup and reader comments; white space runs and block ends become one space. Null or empty html gives an empty text; a
@@ -33,6 +33,7 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog div
 #: An element of the first set ends an open one of the second, up to the given list or table.
 IMPLIED = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])), "tr": (frozenset("tr td th".split()), frozenset(["table"])), "td": (frozenset("td th".split()), frozenset(["tr", "table"])), "th": (frozenset("td th".split()), frozenset(["tr", "table"]))}
 JUNK_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|respond|replies|footer|masthead|site-?header|page-?header|topbar|widget|toolbar|pagination|pager|skip-?link|tags|tag-?cloud|login|search)(?:$|[\s_-])", re.I)
+SPLIT = 1.25  # share of text over the best container inside that an outer one needs
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 
@@ -135,21 +136,37 @@ class Page:
         return node
 
     def best(self) -> tuple[int, float]:
-        """The best container and its score: the text it holds, half of what a container in it holds, less its links."""
-        score: dict[int, float] = {}
+        """The best container and its score: the text that it holds at any depth less its links and half of its junk.
+
+        An outer container wins only if it holds at least SPLIT times the text of the best one in it."""
+        size = len(self.tag)
+        total, junk = [0.0] * size, [0.0] * size
         for node, text, link in self.text:
             n = len(text.strip())
-            if n and not self.junk[node]:
-                c = self.container(node)
-                value = -n if link else n
-                score[c] = score.get(c, 0.0) + value
-                if c > 0:
-                    up = self.container(self.parent[c])
-                    score[up] = score.get(up, 0.0) + value / 2
-        if not score:
+            if self.junk[node]:
+                junk[node] += n
+            else:
+                total[node] += -n if link else n
+        has = [t != 0 for t in total]
+        for i in range(size - 1, 0, -1):
+            up = self.parent[i]
+            total[up] += total[i]
+            junk[up] += junk[i]
+            has[up] = has[up] or has[i]
+        if not has[0]:
             return 0, 0.0
         bonus = {"article": 1.5, "main": 1.3}
-        node = max(score, key=lambda k: (score[k] * bonus.get(self.tag[k], 1.0), -k))
+        score = [t - j / 2 for t, j in zip(total, junk, strict=True)]
+        best = [-1] * size  # the best container at or below an element
+        worth = lambda i: score[i] * bonus.get(self.tag[i], 1.0) if score[i] > 0 else score[i]
+        for i in range(size - 1, -1, -1):
+            if has[i] and (i == 0 or self.tag[i] in CONTAINERS and not self.junk[i]) and (best[i] < 0 or worth(i) >= SPLIT * worth(best[i])):
+                best[i] = i
+            if i and best[i] >= 0:
+                up = self.parent[i]
+                if best[up] < 0 or worth(best[i]) >= worth(best[up]):
+                    best[up] = best[i]
+        node = best[0]
         value, up = score[node], node
         while up > 0:
             if self.tag[up] in ("article", "main") and not self.junk[up]:
@@ -158,17 +175,18 @@ class Page:
             up = self.parent[up]
         return node, value
 
-    def find(self, path: str) -> int | None:
-        """The element on a path that holds most text; None if there is none."""
+    def find(self, path: str) -> list[int]:
+        """The elements on a path, in page order, that aren't junk."""
         last = path.rsplit("/", 1)[-1]
-        found = [i for i in range(1, len(self.name)) if self.name[i] == last and not self.junk[i] and self.path(i) == path]
-        return max(found, key=lambda i: (len(self.extract(i)), -i)) if len(found) > 1 else (found or [None])[0]
+        return [i for i in range(1, len(self.name)) if self.name[i] == last and not self.junk[i] and self.path(i) == path]
 
-    def extract(self, node: int) -> str:
+    def extract(self, *nodes: int) -> str:
+        """The text of elements that aren't in each other, in page order."""
         inside = [False] * len(self.tag)
-        inside[node] = True
-        for i in range(node + 1, len(self.tag)):
-            inside[i] = inside[self.parent[i]]
+        for i in nodes:
+            inside[i] = True
+        for i in range(1, len(self.tag)):
+            inside[i] = inside[i] or inside[self.parent[i]]
         text = "".join(t for i, t, _ in self.text if inside[i] and not self.junk[i])
         return " ".join(html.unescape(text).split())
 
@@ -220,8 +238,8 @@ def extract_pages(pages: DataFrame, keep: int = 3, broadcast_hosts: int = 100_00
             out = []
             for source, host, paths in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 page = Page(source or "")
-                node = next((n for p in (shared.value.get(host) if shared else paths) or () if (n := page.find(p)) is not None), None)
-                out.append(page.extract(page.best()[0] if node is None else node))
+                nodes = next((n for p in (shared.value.get(host) if shared else paths) or () if (n := page.find(p))), None)
+                out.append(page.extract(*(nodes or [page.best()[0]])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "host", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

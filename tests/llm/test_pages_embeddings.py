@@ -40,6 +40,22 @@ def test_extraction(source, text):
     assert page.extract(page.best()[0]) == text
 
 
+A, B = "The first half of the story is a long one, with many words in it.", "The second half is shorter, but belongs to it."
+SPLIT = [
+    f"<body><nav>Menu</nav><div class='post'><section><p>{A}</p></section><section><p>{B}</p></section></div><footer>f</footer></body>",
+    f"<body><nav>Menu</nav><div class='post'><section><div><p>{A}</p></div></section><section><div><p>{B}</p></div></section></div><footer>f</footer></body>",
+    f"<body><article class='part'><p>{A}</p></article><aside>x</aside><article class='part'><p>{B}</p></article></body>",
+    f"<body><table><tr><td><p>{A}</p></td><td><p>{B}</p></td></tr></table></body>",
+]
+
+
+@pytest.mark.parametrize("source", SPLIT)
+def test_split_bodies_are_whole(spark, source):
+    rows = [(i, f"http://h.org/{i}", source) for i in range(3)]
+    got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"{A} {B}"}
+
+
 def test_consensus_wins_over_a_page(spark):
     good = "<body><div class='body-{n}'><p>The story of the day is told here, in some words.</p></div><div class='box'><p>{x}</p></div></body>"
     rows = [(i, f"http://User@H.org:80/{i}", good.format(n=i, x="short")) for i in range(5)] + [(9, "https://h.org/9", good.format(n=9, x="one page has a long box " * 9))]
