@@ -2,7 +2,8 @@
 
 A text is a row of clauses, a clause a row of terminals: insults and threats (words and word stems), targets, negations
 and reporting verbs. Three small transducers (target, negation, reported speech) read the clause in step; their product
-gives each insult or threat a weight by the state that it is met in, so a clause is scored, not a word alone. Which
+gives each insult or threat a weight by the state that it is met in, the largest in any clause, and these add up
+over the text. Insults and threats are one list of single words and stems, not transducers of their own. Which
 insult and threat terminals there are, and what they weigh, is learned from labelled rows: terminals that are
 significantly more frequent in toxic texts, with weights by ridge logistic regression over the matched clauses.
 
