@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from patchloom.llm import embeddings, pages
 
@@ -89,6 +90,16 @@ def test_vectors_by_force(spark, size, dims, seed):
     assert got == cosine_by_force(rows, 0.95)
 
 
+def test_double_vectors_stay_double(spark):
+    """A pair that single precision would move over the threshold, components beyond its range, and clashing columns."""
+    angle = np.arccos(0.95)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], -i) for i, a in enumerate([0.0, angle - 1e-10, 2 * angle + 1e-9])]
+    rows += [(3, [1e200, 1e199], 0), (4, [1e-200, 1e-201], 0), (5, None, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep long").withColumns({c: spark_lit for c, spark_lit in (("d1", F.lit("x")), ("n", F.lit(None)), ("component_id", F.lit(7)))})
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicate_vectors(df).collect()}
+    assert got == {0: (3, 0), 1: (3, 0), 2: (0, 2), 3: (3, 0), 4: (3, 0), 5: (0, 5)}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, 0.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (10, [1e-30, 0.0]), (11, [1e30, 1e25])]
