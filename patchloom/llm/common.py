@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,10 +24,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where the setting is unset, as in tests."""
+    """The shared folder the cluster names; a local one only where it is unset and all runs on one machine, as in tests."""
     ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='patchloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -38,7 +41,7 @@ class Stash:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.paths = 0, []
         _STASHES.append((spark, self.root))
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -47,13 +50,22 @@ class Stash:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._stash_path = path
+        self.paths.append(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes stashed tables that nothing reads any more."""
         for df in frames:
+            self.paths.remove(df._stash_path)
             delete(self.spark, df._stash_path)
 
+    def keep(self, *frames: DataFrame) -> None:
+        """Deletes all stashed tables but those that a result still reads."""
+        kept = {df._stash_path for df in frames}
+        for path in [p for p in self.paths if p not in kept]:
+            self.paths.remove(path)
+            delete(self.spark, path)
+
 
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm

@@ -293,7 +293,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = 0.95, size: int |
         found = stash.put(dealt.mapInArrow(run, "kind int, a long, b long"), "found")
     finally:
         spark.conf.set(limit, before)
-    comp = components(found.where("kind = 1").select("a", "b"), stash).withColumnRenamed("id", "rep")
+    comp = components(found.where("kind = 1").select("a", "b"), stash)
+    stash.keep(rows, reps, found, comp)
+    comp = comp.withColumnRenamed("id", "rep")
     links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     about_reps = reps.select("d1", "d2", "rep", "n").join(links, "rep", "left").join(comp, "rep", "left")
     out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), F.col("d1")).alias("d1"), "d2").join(about_reps, ["d1", "d2"], "left")

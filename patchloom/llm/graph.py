@@ -74,5 +74,7 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
         stash.drop(edges)
         edges = out
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            out._stash_path = edges._stash_path
+            return out
         before = now

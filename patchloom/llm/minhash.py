@@ -146,8 +146,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for t in slices(batches, 200):
             keep = []
             for a, x, y in zip(t.column(0).to_pylist(), as_bytes(t.column(2)), as_bytes(t.column(3)), strict=True):
-                if last != (a, len(x)):
-                    last, held = (a, len(x)), shingles(x, words, k)
+                if last != (a, x):
+                    last, held = (a, x), shingles(x, words, k)
                 own = shingles(y, words, k)
                 both = len(np.intersect1d(held, own, assume_unique=True))
                 keep.append(100 * both >= percent * (len(held) + len(own) - both))
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     met = stash.put(met.select("key", "rep", "label"), "met")  # written first, so that a band of many members may be split
     links = stash.put(links.unionByName(stash.put(confirmed_in_blocks(met, reps, docs, k, percent), "links")), "links")
     comp = components(links, stash)
+    stash.keep(feats, reps, comp)
 
     ids = reps.select("n", "d1", "d2", "rep")
     found = feats.select("doc_id", "n", "d1", "d2").join(ids, ["n", "d1", "d2"], "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
