@@ -18,7 +18,9 @@ empty table there are no hits. Columns other than doc_id, item_id and text are i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,22 @@ SECTION = 6 * HALF  # words of a section of an item; neighbours share a window's
 SPLIT = bytes(b if b > 127 or chr(b).isalnum() or b == 95 else 32 for b in range(256))
 
 
+SPACE = re.compile("[ \\t-\\r]")
+LONG = 1 << 20  # code points of a text that are split into words at once
+GRAM = 8  # words of the shortest quotation
+
+
+def parts(text: str) -> Iterator[str]:
+    """A text in parts that end at white space, so that a very long one is never a list of all its words."""
+    start = 0
+    while len(text) - start > LONG:
+        m = SPACE.search(text, start + LONG)
+        end = m.end() if m else len(text)
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
 def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(SPLIT).split() if text else []
 
@@ -50,8 +68,21 @@ class Vocabulary(dict):
                 self.setdefault(w, len(self) + 1)
 
     def ids(self, text: str | None) -> np.ndarray:
-        w = words_of(text)
-        return np.fromiter((self.get(x, 0) for x in w), np.int64, len(w))
+        got = []
+        for part in parts(text or ""):
+            w = words_of(part)
+            got.append(np.fromiter(map(self.get, w, repeat(0)), np.int32, len(w)))
+        return got[0] if len(got) == 1 else np.concatenate(got)
+
+
+def grams(x: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """A hash of each n terms in a row."""
+    if len(x) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(x) - n + 1, np.uint64)
+    for i in range(n):
+        out = (out + x[i : len(x) - n + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return out ^ out >> np.uint64(32)
 
 
 def document_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
@@ -62,7 +93,7 @@ def document_frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
         n = np.zeros(len(own) + 1, np.int64)
         for b in slices(batches):
             for t in b.column(0).to_pylist():
-                found = known.intersection(words_of(t))
+                found = set().union(*(known.intersection(words_of(p)) for p in parts(t or "")))
                 n[[own[w] for w in found]] += 1
                 n[0] += 1
         at = np.flatnonzero(n)
@@ -96,6 +127,12 @@ def windows(ids: list[np.ndarray], weighted: np.ndarray) -> tuple[np.ndarray, np
     return part / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-12), owner, first
 
 
+def _cut(x: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """A text's terms in parts of at most `most`, a multiple of HALF, with their place; windows on a cut are in the part before it."""
+    for at in range(0, max(1, len(x) - HALF), most - HALF):
+        yield at, x[at : at + most]
+
+
 def latent_basis(items: DataFrame, vocabulary, idf: np.ndarray, rank: int = RANK, passes: int = 2, seed: int = 7) -> np.ndarray:
     """Whitened leading right singular vectors (terms x rank) of the TF-IDF windows of items."""
     terms = len(idf)
@@ -107,9 +144,8 @@ def latent_basis(items: DataFrame, vocabulary, idf: np.ndarray, rank: int = RANK
             w = shared.value * idf[:, None]
             total, gram = np.zeros(w.shape, np.float32), np.zeros((w.shape[1],) * 2)
             for b in slices(batches):
-                ids = [vocabulary.value.ids(t) for t in b.column(0).to_pylist()]
-                for lo, hi in _batches(ids):
-                    flat, part = _gathered(ids[lo:hi], w)[:2]
+                for _, ids in _batches(map(vocabulary.value.ids, b.column(0).to_pylist())):
+                    flat, part = _gathered([x for _, _, x in ids], w)[:2]
                     gram += part.T @ part
                     # a word stands in the window that begins with its half and in the one before
                     both = part + np.vstack([np.zeros((1, w.shape[1]), np.float32), part[:-1]])
@@ -162,19 +198,28 @@ class Index:
         v = np.array(vectors).reshape(len(vectors), basis.shape[1])
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32).T
         self.section = np.array(sections, np.int64)
-        self.masks, self.answers, self.counts = [], [], []
+        self.masks, self.answers, self.counts, self.keys = [], [], [], []
+        own = [grams(np.array(x)) for x in self.words]
+        self.grams = np.unique(np.concatenate(own)) if own else np.zeros(0, np.uint64)
         for x in self.words:
             mask: dict[int, int] = {}
             for i, w in enumerate(x):
                 mask[w] = mask.get(w, 0) | 1 << i
             self.masks.append(mask)
-            self.counts.append({w: m.bit_count() for w, m in mask.items()})
+            self.counts.append({w: n for w, m in mask.items() if (n := m.bit_count() - 1)})
+            self.keys.append(frozenset(mask))
             self.answers.append(self.rarest(x))
 
     def rarest(self, words: list[int]) -> frozenset[int]:
         rare = sorted(set(words), key=lambda w: (-self.idf[w], w))
         return frozenset(rare[: max(1, len(rare) // 4)])
 
+    def has(self, g: np.ndarray) -> np.ndarray:
+        """Whether each hash of GRAM terms is one of a section."""
+        if not len(self.grams):
+            return np.zeros(len(g), bool)
+        return self.grams[np.minimum(np.searchsorted(self.grams, g), len(self.grams) - 1)] == g
+
     def common(self, k: int, text: list[int], start: int = 0, size: int | None = None) -> float:
         """Length of the longest common subsequence of a run of words and section k, or `size` words of it, as a share."""
         mask, size = self.masks[k], size or len(self.words[k])
@@ -185,16 +230,14 @@ class Index:
                 v = ((v + u) | (v - u)) & full
         return (size - v.bit_count()) / size
 
-    def answered(self, rare: frozenset[int], text: list[int]) -> bool:
+    def answered(self, rare: frozenset[int], text) -> bool:
         """Whether a run of words has enough of the rarest words; two of them may be there by chance."""
         return len(rare.intersection(text)) >= max(self.answer * len(rare), min(3, len(rare)))
 
     def quoted(self, k: int, text: list[int]) -> bool:
-        """Whether RUN words of section k, or half of a shorter one but at least 8, stand side by side in a run of words."""
+        """Whether RUN words of section k, or half of a shorter one but at least GRAM, stand side by side in a run of words."""
         words, n = len(self.words[k]), 1
-        least = min(RUN, max(8, -(-words // 2)), words)
-        if b"\1" * least not in bytes(map(self.masks[k].__contains__, text)):
-            return False
+        least = min(RUN, max(GRAM, -(-words // 2)), words)
         ends = [self.masks[k].get(w, 0) for w in text]  # bit i: the last n words are those up to word i
         while n < least and any(ends):
             step = min(n, least - n)
@@ -215,61 +258,93 @@ class Index:
         """Windows and sections, sorted by section, of which a passage is near; the largest cosine and its passage."""
         at, passage, cosine = [], [], []
         for lo in range(0, len(self.section), 2048):
-            near = unit @ self.vectors[:, lo : lo + 2048]
-            a, p = np.nonzero(near >= self.near)
+            near = (unit @ self.vectors[:, lo : lo + 2048]).ravel()
+            found = np.flatnonzero(near >= self.near)
+            a, p = np.divmod(found, min(2048, len(self.section) - lo))
             at.append(a)
             passage.append(lo + p)
-            cosine.append(near[a, p])
+            cosine.append(near[found])
         passage, cosine = np.concatenate(passage), np.concatenate(cosine)
         key = self.section[passage] * len(unit) + np.concatenate(at)
         order = np.lexsort((-cosine, key))
         key, start = np.unique(key[order], return_index=True)
         return key % len(unit), key // len(unit), cosine[order][start], passage[order][start]
 
-    def hits(self, ids: list[np.ndarray]) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text: item -> (cosine, common share, answer share) of its section that passes the checks best."""
-        found: list[dict] = [{} for _ in ids]
+    def hits(self, texts: list[tuple[int, int, np.ndarray]], whole: dict[int, np.ndarray]) -> Iterator[tuple[int, int, tuple[float, float, float]]]:
+        """Parts of texts (text, place in it, terms) -> text, item, (cosine, common share, answer share) of each section
+        that passes the checks. whole: the terms of all texts, as a check may look beyond a part."""
+        ids = [x for _, _, x in texts]
         if not self.ids or not sum(map(len, ids)):
-            return found
+            return
         unit, owner, first = windows(ids, self.weighted)
+        first = first + np.array([at // HALF for _, at, _ in texts])[owner]
+        number = [t for t, _, _ in texts]
         runs: list[list] = []
         for a, k, c, p in zip(*(x.tolist() for x in self.candidates(unit)), strict=True):
             if runs and runs[-1][0] == k and runs[-1][2] + 1 >= a and owner[a] == owner[runs[-1][1]] and a - runs[-1][1] < 8:
                 runs[-1][2:] = a, *max(tuple(runs[-1][3:]), (c, p, a))
             else:
                 runs.append([k, a, a, c, p, a])
+        begins = [max(0, at - SECTION) for _, at, _ in texts]
+        quotes = [np.cumsum(self.has(grams(whole[t][b : at + len(x) + SECTION + 2 * HALF]))) for b, (t, at, x) in zip(begins, texts, strict=True)]
+        owner, first = owner.tolist(), first.tolist()
         for k, a, z, c, p, best in runs:
-            text, reach = int(owner[a]), len(self.words[k])
-            lo = max(0, int(first[a]) * HALF - reach)
-            near_words = ids[text][lo : int(first[z]) * HALF + 2 * HALF + reach].tolist()
+            text, reach, part = number[owner[a]], len(self.words[k]), owner[a]
+            terms = whole[text]
+            lo, hi = max(0, first[a] * HALF - reach), first[z] * HALF + 2 * HALF + reach
+            near_words = terms[lo:hi].tolist()
+            near = set(near_words)
             # a word that isn't there at all is in no common subsequence
-            most = reach - sum(map(self.counts[k].__getitem__, set(self.masks[k]).difference(near_words)))
-            if most < min(self.loose * reach, RUN):
-                continue
-            share = -1.0
-            if most >= self.lcs * reach or most >= self.loose * reach and self.answered(self.answers[k], near_words):
-                share = self.common(k, near_words)
-            hit = share >= self.lcs or share >= self.loose and self.answered(self.answers[k], near_words)
-            middle = int(first[best]) * HALF
-            if hit or self.quoted(k, near_words) or self.reworded(k, ids[text][max(0, middle - HALF) : middle + 3 * HALF].tolist(), p):
+            there = self.keys[k] & near
+            most = len(there)
+            if self.counts[k]:
+                most += sum(map(self.counts[k].get, there, repeat(0)))
+            hit, share = False, -1.0
+            if most >= self.loose * reach:
+                good = self.answered(self.answers[k], near)
+                if good or most >= self.lcs * reach:
+                    share = self.common(k, near_words)
+                    hit = share >= self.lcs or good and share >= self.loose
+            if not hit:
+                # a quotation holds GRAM words of some section in a row, if its section isn't shorter
+                g, left, right = quotes[part], lo - begins[part], min(hi - begins[part], len(quotes[part]) + GRAM - 1) - GRAM
+                seen = right >= left and len(g) and g[right] > (g[left - 1] if left > 0 else 0)
+                hit = (seen or reach < GRAM) and self.quoted(k, near_words)
+            if not hit:
+                middle = first[best] * HALF
+                hit = self.reworded(k, terms[max(0, middle - HALF) : middle + 3 * HALF].tolist(), p)
+            if hit:
                 share = self.common(k, near_words) if share < 0 else share
-                if share > found[text].get(self.item[k], (0, 0, 0))[1]:
-                    found[text][self.item[k]] = (c, share, len(self.answers[k].intersection(near_words)) / len(self.answers[k]))
-        return found
-
-
-def _batches(ids: list[np.ndarray], most: int = 60_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
+                yield text, self.item[k], (c, share, len(self.answers[k] & near) / len(self.answers[k]))
+
+    def found(self, texts: list[str | None]) -> Iterator[tuple[int, dict[int, tuple[float, float, float]]]]:
+        """For each text with hits: item -> (cosine, common share, answer share) of its best section."""
+        for whole, batch in _batches(map(self.vocabulary.ids, texts)):
+            out: dict[int, dict] = {}
+            for text, item, about in self.hits(batch, whole):
+                own = out.setdefault(text, {})
+                if about[1] > own.get(item, (0, -1, 0))[1]:
+                    own[item] = about
+            yield from out.items()
+
+
+def _batches(ids: Iterator[np.ndarray], most: int = 48_000) -> Iterator[tuple[dict[int, np.ndarray], list[tuple[int, int, np.ndarray]]]]:
+    """Texts' terms by number, and their parts (number, place, terms); at most about `most` terms are in the parts, however
+    long a text is."""
+    whole, held, size = {}, [], 0
     for i, x in enumerate(ids):
-        if size and size + len(x) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(x)
-    if start < len(ids):
-        yield start, len(ids)
-
-
-def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: float = 0.55, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.4) -> list:
+        for at, part in _cut(x, most):
+            if size and size + len(part) > most:
+                yield whole, held
+                whole, held, size = {}, [], 0
+            whole[i] = x
+            held.append((i, at, part))
+            size += len(part)
+    if held:
+        yield whole, held
+
+
+def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 5_000, near: float = 0.55, lcs: float = 0.8, loose: float = 0.5, answer: float = 0.4) -> list:
     """Broadcast indexes, one for each block of items. near: least cosine of a candidate. lcs: least common share of a
     hit; loose: least share where at least `answer` of the item's rarest words, and three, are there too."""
     spark = docs.sparkSession
@@ -287,6 +362,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block: int = 2_000, near: flo
         idf[0] = 0
         basis = latent_basis(part.repartition(4), shared, idf)
         out.append(spark.sparkContext.broadcast(Index(rows, vocabulary, idf, basis, near, lcs, loose, answer)))
+    stash.keep()
     return out
 
 
@@ -297,11 +373,11 @@ def leaks(docs: DataFrame, index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for b in slices(batches):
-            doc_ids, ids = b.column(0).to_pylist(), [own.vocabulary.ids(t) for t in b.column(1).to_pylist()]
-            rows = []
-            for lo, hi in _batches(ids):
-                for i, hits in enumerate(own.hits(ids[lo:hi]), lo):
-                    rows += [(doc_ids[i], own.ids[k], *map(float, v)) for k, v in sorted(hits.items())]
+            doc_ids, rows = b.column(0).to_pylist(), {}
+            for i, hits in own.found(b.column(1).to_pylist()):
+                for k, v in hits.items():  # a long text comes in several batches
+                    rows[i, k] = max(rows.get((i, k), v), v, key=lambda v: v[1])
+            rows = [(doc_ids[i], own.ids[k], *map(float, v)) for (i, k), v in sorted(rows.items())]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -327,9 +403,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             own = index.value
             for b in slices(batches):
-                ids = [own.vocabulary.ids(t) for t in b.column(at).to_pylist()]
-                clean = [not hits for lo, hi in _batches(ids) for hits in own.hits(ids[lo:hi])]
-                yield b.filter(pa.array(clean, pa.bool_()))
+                clean = np.ones(b.num_rows, bool)
+                clean[[i for i, _ in own.found(b.column(at).to_pylist())]] = False
+                yield b.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
     return out
