@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,107 +22,181 @@ from pyspark.sql import functions as F
 
 from .common import Stash, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+MARKUP = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Fixed sets of element names.
 RAW = frozenset("script style title textarea noscript template xmp iframe svg math select object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var ins del big strike wbr ruby rt rp".split())
-JUNK_TAGS = frozenset("nav footer aside form button dialog menu head fieldset audio video map".split())
+JUNK_TAGS = frozenset("nav footer aside button dialog menu head fieldset audio video map".split())
 CONTAINERS = frozenset("body article main section div td center".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An element of the first set ends an open one of the second, up to the given list or table.
 IMPLIED = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "dt": (frozenset("dt dd".split()), frozenset(["dl"])), "dd": (frozenset("dt dd".split()), frozenset(["dl"])), "tr": (frozenset("tr td th".split()), frozenset(["table"])), "td": (frozenset("td th".split()), frozenset(["tr", "table"])), "th": (frozenset("td th".split()), frozenset(["tr", "table"]))}
-JUNK_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|respond|replies|footer|masthead|site-?header|page-?header|topbar|widget|toolbar|pagination|pager|skip-?link|tags|tag-?cloud|login|search)(?:$|[\s_-])", re.I)
-SPLIT = 1.25  # share of text over the best container inside that an outer one needs
+END_OF = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9:-])", re.I) for tag in RAW}
+#: Words that name what is never the text, and words that name what isn't unless it holds nearly all of the text.
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup comment comments commentlist disqus respond replies".split())
+SELDOM = frozenset("banner notice alert overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommend recommended recommendations footer masthead siteheader pageheader topbar widget widgets toolbar pagination pager skiplink tags tagcloud login search".split())
+#: Words before such a word that say what else a page has: no-sidebar, with-menu.
+MODIFIERS = frozenset("with without no not non has have hide hidden is show below above after before".split())
+#: Two words that are one of the above together.
+TOGETHER = frozenset([("side", "bar"), ("site", "header"), ("page", "header"), ("skip", "link"), ("tag", "cloud"), ("comment", "list"), ("sign", "up")])
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
+SPLIT = 1.25  # share of text over the best container inside that an outer one needs
+MOST = 4  # times the text outside of it that an element with a SELDOM name must hold to be no junk
+
+
+@lru_cache(50_000)
+def named_junk(name: str) -> int:
+    """What one class or id says: 2 for what is never the text, 1 for what seldom is, 0 for any other.
+
+    The first or last of its words decides, unless a modifier stands before."""
+    words = [w.lower() for w in PART.findall(name)]
+    if not words or not MODIFIERS.isdisjoint(words[:-1]):
+        return 0
+    ends = [words[0], words[-1]] + ["".join(two) for two in (tuple(words[:2]), tuple(words[-2:])) if two in TOGETHER]
+    return 2 if not NEVER.isdisjoint(ends) else int(not SELDOM.isdisjoint(ends))
 
 
 class Page:
-    """A parsed page: for each element its parent, tag, name for paths and whether it is junk, and the text pieces."""
+    """A parsed page: for each element its parent, tag, name for paths and whether it is junk, and the text pieces.
+
+    The source is read once from its start to its end; what is open is known by tag, so no end tag searches for it."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.name, self.junk = [-1], ["#"], ["#"], [False]
+        self.parent, self.tag, self.name = [-1], ["#"], ["#"]
+        self.depth, self.within, self.hard, self.soft = [0], [False], [False], [0]
         self.text: list[tuple[int, str, bool]] = []  # element, text (" " at a block's end), in a link
-        stack, at, links = [0], 0, 0
-        length = len(source)
+        self.stack, self.open, self.blocks, self.containers = [0], {}, [0], [0]
+        at, in_link, quotes, length = 0, False, True, len(source)
         while at < length:
-            m = TOKEN.search(source, at)
+            m = MARKUP.search(source, at)
             if not m:
-                self._add(stack[-1], source[at:], links)
+                self._add(source[at:], in_link)
                 break
             if m.start() > at:
-                self._add(stack[-1], source[at : m.start()], links)
-            at = m.end()
-            if not m[2]:
+                self._add(source[at : m.start()], in_link)
+            if m[0] == "<!--":
+                end = source.find("-->", m.end())
+                at = end + 3 if end >= 0 else length
                 continue
-            tag = m[2].lower()
+            if m[0] in ("<!", "<?"):
+                at = source.find(">", m.end()) + 1 or length
+                continue
+            closing, start = m[0][1] == "/", m.end() - 1
+            name = NAME.match(source, start)
+            tag, end = name[0].lower(), name.end()
+            found = ATTRIBUTES.match(source, end) if quotes and not closing else None
+            if found:
+                at = found.end()
+            else:  # a quote that never ends: from here on quotes are as any other character
+                quotes = quotes and closing
+                at = source.find(">", end) + 1 or length
+            attributes = source[end : at - 1]
             if tag not in INLINE:
-                self.text.append((stack[-1], " ", False))
-            if m[1]:
-                i = len(stack) - 1
-                while i and self.tag[stack[i]] != tag and not (tag in INLINE and self.tag[stack[i]] not in INLINE):
-                    i -= 1
-                if i and self.tag[stack[i]] == tag:
-                    del stack[i:]
+                self.text.append((self.stack[-1], " ", False))
+            if closing:
+                own = self.open.get(tag)
+                if own and (tag not in INLINE or own[-1] > self.blocks[-1]):
+                    self._pop(own[-1])
                 if tag == "a":
-                    links = 0
+                    in_link = False
                 continue
             if tag in RAW:
-                if not m[3].endswith("/"):
-                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-                    at = end.end() if end else length
+                if not attributes.endswith("/"):
+                    m = END_OF[tag].search(source, at)
+                    at = (source.find(">", m.end()) + 1 or length) if m else length
                 continue
             if tag in VOID:
                 continue
             if tag in CLOSES_P:
-                self._close(stack, frozenset(["p"]), frozenset())
+                self._close(("p",), ())
             if tag in IMPLIED:
-                self._close(stack, *IMPLIED[tag])
+                self._close(*IMPLIED[tag])
             if tag == "a":
-                links = 1
-            if m[3].endswith("/"):
-                continue
-            stack.append(self._open(stack[-1], tag, m[3]))
-
-    def _add(self, node: int, text: str, links: int) -> None:
-        self.text.append((node, text, bool(links)))
-
-    def _close(self, stack: list[int], tags: frozenset, until: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tag[stack[i]]
-            if tag in tags:
-                del stack[i:]
-                return
-            if tag in until or (tag not in INLINE and tag in CONTAINERS):
-                return
-
-    def _open(self, parent: int, tag: str, attributes: str) -> int:
-        names, role, hidden = "", "", False
+                in_link = True
+            if not attributes.endswith("/"):
+                self._push(tag, attributes)
+        self.junk = self._junk()
+
+    def _add(self, text: str, in_link: bool) -> None:
+        self.text.append((self.stack[-1], text, in_link))
+
+    def _pop(self, place: int) -> None:
+        """Closes all elements from a place on the stack on."""
+        while len(self.stack) > place:
+            i = len(self.stack) - 1
+            self.open[self.tag[self.stack.pop()]].pop()
+            for kept in (self.blocks, self.containers):
+                if kept[-1] == i:
+                    kept.pop()
+
+    def _close(self, tags, until) -> None:
+        last = lambda names: max((self.open[t][-1] for t in names if self.open.get(t)), default=0)
+        place = last(tags)
+        if place and place > max(last(until), self.containers[-1] if self.tag[self.stack[self.containers[-1]]] not in tags else 0):
+            self._pop(place)
+
+    def _push(self, tag: str, attributes: str) -> None:
+        names, role, hidden = [], "", False
         if attributes:
             for a in ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
                 if key in ("class", "id"):
-                    names += " " + value
+                    names += value.split()
                 elif key == "role":
                     role = value.lower()
                 elif key == "hidden" or value.lower() == "true":
                     hidden = True
-        own = tag in JUNK_TAGS or role in JUNK_ROLE or hidden or (tag not in ("body", "html", "article", "main") or "comment" in names.lower()) and bool(JUNK_NAME.search(names))
-        if tag == "header":
-            own = own or not self._inside(parent, ("article", "main"))
-        self.parent.append(parent)
+        up, place = self.stack[-1], len(self.stack)
+        said = max(map(named_junk, names), default=0)
+        if tag in ("body", "html", "article", "main"):
+            said = 2 if said == 2 and any("comment" in n.lower() for n in names) else 0
+        hard = tag in JUNK_TAGS or role in JUNK_ROLE or hidden or said == 2 or tag == "header" and not self.within[up]
+        self.parent.append(up)
         self.tag.append(tag)
-        self.name.append(".".join([tag, *sorted(set(re.sub(r"\d+", "", names).split()))]))
-        self.junk.append(own or self.junk[parent])
-        return len(self.tag) - 1
+        self.name.append(".".join([tag, *sorted({re.sub(r"[\d/]+", "", n) for n in names} - {""})]))
+        self.depth.append(self.depth[up] + 1)
+        self.within.append(self.within[up] or tag in ("article", "main"))
+        self.hard.append(hard or self.hard[up])
+        self.soft.append(int(said == 1) or 2 * (tag == "form"))
+        self.stack.append(len(self.tag) - 1)
+        self.open.setdefault(tag, []).append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+        if tag in CONTAINERS:
+            self.containers.append(place)
 
-    def _inside(self, node: int, tags: tuple[str, ...]) -> bool:
-        while node > 0:
-            if self.tag[node] in tags:
-                return True
-            node = self.parent[node]
-        return False
+    def _junk(self) -> list[bool]:
+        """Whether each element is junk: by its own nature or by a name, unless it holds nearly all of what is left."""
+        if not any(self.soft):
+            return self.hard
+        size = len(self.tag)
+        prose, clean, story = [0] * size, [0] * size, [False] * size
+        named = [False] * size
+        for i in range(1, size):
+            named[i] = self.soft[i] > 0 or named[self.parent[i]]
+        for node, text, link in self.text:
+            if not self.hard[node] and not link:
+                n = len(text.strip())
+                prose[node] += n
+                clean[node] += n * (not named[node])
+        articles = 0  # text in articles that nothing calls junk
+        for i in range(size - 1, 0, -1):
+            up = self.parent[i]
+            prose[up] += prose[i]
+            clean[up] += clean[i]
+            story[up] = story[up] or story[i] or self.tag[i] in ("p", "article", "main", "h1")
+            if self.tag[i] in ("article", "main") and not named[i] and not self.hard[i]:
+                articles += clean[i]
+        out = [False] * size
+        for i in range(1, size):
+            own = self.soft[i] and (articles or prose[i] <= MOST * clean[0] or self.soft[i] == 2 and not story[i])
+            out[i] = bool(self.hard[i] or own or out[self.parent[i]])
+        return out
 
     def path(self, node: int) -> str:
         out = []
@@ -130,11 +205,6 @@ class Page:
             node = self.parent[node]
         return "/".join(reversed(out))
 
-    def container(self, node: int) -> int:
-        while node > 0 and self.tag[node] not in CONTAINERS:
-            node = self.parent[node]
-        return node
-
     def best(self) -> tuple[int, float]:
         """The best container and its score: the text that it holds at any depth less its links and half of its junk.
 
@@ -177,8 +247,16 @@ class Page:
 
     def find(self, path: str) -> list[int]:
         """The elements on a path, in page order, that aren't junk."""
-        last = path.rsplit("/", 1)[-1]
-        return [i for i in range(1, len(self.name)) if self.name[i] == last and not self.junk[i] and self.path(i) == path]
+        names = path.split("/")
+        on, out = [False] * len(self.tag), []
+        on[0] = True
+        for i in range(1, len(self.tag)):
+            d = self.depth[i]
+            if d <= len(names) and on[self.parent[i]] and self.name[i] == names[d - 1]:
+                on[i] = True
+                if d == len(names) and not self.junk[i]:
+                    out.append(i)
+        return out
 
     def extract(self, *nodes: int) -> str:
         """The text of elements that aren't in each other, in page order."""
