@@ -13,6 +13,7 @@ other; pieces then repeat their numbers. Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import unicodedata
 import zlib
 from array import array
@@ -30,11 +31,15 @@ END_ID = 0
 
 
 class Encoder:
-    """Token ids as little-endian bytes, by pieces between spaces and line ends.
+    """Token ids as little-endian bytes, by pieces between white space where a vocabulary allows it.
 
-    White space always separates tokens of this vocabulary and normalisation never crosses it, so a text's ids are its
-    pieces' ids in a row; pieces repeat, so they are remembered. A piece that is letters and then ASCII punctuation is
-    two groups of tokens, remembered apart."""
+    Where normalisation is NFC, white space to blanks and lower case, and words are runs of letters, single digits and
+    runs of other marks, white space always separates tokens and nothing crosses it, so a text's ids are its pieces' ids
+    in a row; pieces repeat, so they are remembered. Any other vocabulary is given the whole text."""
+
+    #: What a vocabulary's file must say for pieces to be tokenized one by one.
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    WORDS = [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
@@ -42,16 +47,24 @@ class Encoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.known: dict[str, bytes] = {}  # pieces of this generation
         self.before: dict[str, bytes] = {}  # and of the one before, from which those still used are taken over
-
+        said = json.loads(self.tokenizer.to_str())
+        model, added = said["model"], [t["content"] for t in said["added_tokens"]]
+        self.by_piece = (said["normalizer"] or {}).get("normalizers") == self.NORMAL and (said["pre_tokenizer"] or {}).get("pretokenizers") == self.WORDS and not said["truncation"] and not any(c.isspace() for t in added for c in t)
+        self.plain = self.by_piece and model["type"] == "BPE" and not model.get("dropout") and not any(t.isalpha() for t in added)
         self.model = self.tokenizer.model
         #: Bytes as the characters that byte-level vocabularies write them with.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         self.written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
+    @staticmethod
+    def latin(word: str) -> bool:
+        """Letters that neither normalisation nor lower-casing makes anything but letters of."""
+        return word.isalpha() and max(word) < "\u0130" and unicodedata.is_normalized("NFC", word)
+
     def raw(self, piece: str) -> bytes:
         """The ids of a piece. Latin letters are one word to the vocabulary's merges, which need no more than its bytes."""
-        if piece.isalpha() and max(piece) < "\u0130" and unicodedata.is_normalized("NFC", piece):
+        if self.plain and self.latin(piece):
             word = "".join(map(self.written.__getitem__, piece.lower().encode()))
             return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,17 +77,20 @@ class Encoder:
         return out
 
     def learn(self, piece: str) -> None:
+        """Remembers a piece's ids; Latin letters before ASCII marks are a group of tokens of their own."""
         core = piece.rstrip(".,!?;:|*#$%&")
         if piece in self.before:
             self.known[piece] = self.before[piece]
-        elif core != piece and core.isalpha():
+        elif self.plain and core != piece and core and self.latin(core):
             self.known[piece] = self.part(core.lower() if core.isascii() else core) + self.part(piece[len(core) :])
-        elif piece.isascii() and piece.isalpha():
+        elif self.plain and piece.isascii() and piece.isalpha():
             self.known[piece] = self.part(piece.lower())
         else:
             self.known[piece] = self.raw(piece)
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_piece:
+            return self.raw(text)
         pieces = text.replace("\n", " ").split(" ")
         if len(self.known) > self.limit:
             self.known, self.before = {}, self.known
