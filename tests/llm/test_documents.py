@@ -126,6 +126,61 @@ def test_shards(spark, docs):
     assert got.groupby("shard")["size"].sum().max() <= got["size"].sum() / 40 + 2 * got["size"].max()
 
 
+def shards_by_force(points, leaves, together=0.02):
+    """points: (dims, crc, id, size) -> the shard of each, by sorting every node whole."""
+    out = {}
+    wide = lambda own: [max(p[0][d] for p in own) - min(p[0][d] for p in own) for d in range(4)]
+    whole = wide(points)
+
+    def cut(own, n, first):
+        if n == 1 or not own:
+            out.update((p[2], first) for p in own)
+            return
+        share = [w / max(1, t) for w, t in zip(wide(own), whole)]
+        d = share.index(max(share))
+        total = sum(p[3] for p in own)
+        goal, before = max(1, round(total * (n // 2) / n)), 0
+        own = sorted(own, key=lambda p: (p[0][d], p[1], p[2]))
+        for p in own:
+            if before + p[3] >= goal:
+                break
+            before += p[3]
+        key = lambda q: (q[0][d], q[1])
+        group = [q for q in own if key(q) == key(p)]
+        weight = sum(q[3] for q in group)
+        if len(group) == 1 or weight * n > together * total:
+            group, weight = [p], p[3]
+        else:
+            before = sum(q[3] for q in own if key(q) < key(p))
+        low = not before if not before or before + weight == total else before + weight - goal <= goal - before
+        ids = {q[2] for q in group}
+        left = [q for q in own if q[2] not in ids and (key(q), q[2]) < (key(group[0]), group[0][2])] + (group if low else [])
+        kept = {q[2] for q in left}
+        cut(left, n // 2, first)
+        cut([q for q in own if q[2] not in kept], n - n // 2, first + n // 2)
+
+    cut(points, leaves, 0)
+    return out
+
+
+@pytest.mark.parametrize("leaves", [7, 40])
+def test_shards_by_force(spark, docs, leaves):
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    rows += [(5000 + i, f"same text {i % 3}", None if i % 4 else "xx", f"src{i}") for i in range(60)] + [(6000, None, None, None), (6001, "", "en", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    name = lambda x: int.from_bytes((x or "").encode()[:7].ljust(7, b"\0"), "big")
+    least = {}
+    for _, t, lang, source in rows:
+        old = least.get(t or "", (math.inf, math.inf))
+        least[t or ""] = min(old[0], name(lang)), min(old[1], name(source))
+    points = []
+    for i, t, *_ in rows:
+        raw, width = (t or "").encode(), 1 << 32
+        dims = (min(width - 1, math.floor(math.log2(len(raw) + 16) * (width // 40))), math.floor(len(t) / len(raw) * (width - 1)) if raw else 0, *least[t or ""])
+        points.append((dims, zlib.crc32(raw), i, len(raw) + 16))
+    assert {r.doc_id: r.shard for r in sharding.shard_documents(df, leaves).collect()} == shards_by_force(points, leaves)
+
+
 def test_shards_of_even_rows_are_even(spark):
     df = spark.range(0, 4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 50).cast("int")).alias("text"))
     total = sharding.shard_documents(df, 40).groupBy("shard").agg(F.sum("size").alias("s")).toPandas().s
@@ -245,6 +300,35 @@ def test_reworded_and_quoted_leaks(spark):
     assert all(d < 1000 and i == d % 100 for d, i in got)
 
 
+def test_very_long_texts(spark, monkeypatch):
+    """A text of many cuts: items are found wherever they stand, also on a cut, and a cut anywhere changes nothing."""
+    r = random.Random(16)
+    run = lambda n: [f"{r.choice('an er th ion es'.split())}{int(r.paretovariate(0.6)) % 5000}" for _ in range(n)]
+    items = [run(r.randrange(16, 60)) for _ in range(12)] + [run(8)]
+    own = run(150_000)
+    for k, item in enumerate(items[:-1]):
+        at = 48_000 - 16 - 20 if not k else 12_000 * k
+        own[at:at] = item
+    text = " ".join(own)
+    docs = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    assert decontam_ids(docs, bench) == {(1, k) for k in range(12)}
+    v = decontam.Vocabulary(" ".join(x) for x in items)
+    whole = v.ids(text)
+    for long in (1, 7, 1000):
+        monkeypatch.setattr(decontam, "LONG", long)
+        assert (v.ids(text) == whole).all() and "".join(decontam.parts(text[:5000])) == text[:5000]
+    short = v.ids(" ".join(["zz"] * 1000 + items[1] + ["zz"] * 2500 + items[2] + ["zz"] * 700))
+    basis = np.random.default_rng(1).standard_normal((len(v) + 1, 64)).astype(np.float32)
+    idf = np.ones(len(v) + 1, np.float32)
+    idf[0] = 0
+    index = decontam.Index([(i, " ".join(x)) for i, x in enumerate(items)], v, idf, basis, 0.55, 0.8, 0.5, 0.4)
+    hits = lambda most: {h[:2] for whole, batch in decontam._batches(iter([short]), most) for h in index.hits(batch, whole)}
+    assert hits(48_000) >= {(0, 1), (0, 2)}
+    for most in (32, 48, 160, 1600):
+        assert hits(most) == hits(48_000)
+
+
 def test_common_subsequence_by_force():
     r = random.Random(6)
     items = [(i, " ".join(r.choice("abcdef") for _ in range(r.randrange(1, 70)))) for i in range(20)]
@@ -262,7 +346,7 @@ def test_common_subsequence_by_force():
 
 @pytest.mark.parametrize("head", [400_000, 300])
 def test_base_scores_by_force(spark, docs, head):
-    got = {r.doc_id: r for r in lmscore.score_documents(docs, head=head, clustered=100, classes=12).collect()}
+    got = {r.doc_id: r for r in lmscore.score_documents(docs, head=head, seeds=8).collect()}
     rows = docs.collect()
     c, n = Counter(), 0
     for r in rows:
@@ -282,12 +366,70 @@ def test_base_scores_by_force(spark, docs, head):
 
 
 def test_scores_do_not_depend_on_the_head(spark, docs):
-    a, b = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lmscore.score_documents(docs, head=head, clustered=100, classes=12).collect()} for head in (400_000, 300))
+    a, b = ({r.doc_id: (r.score, r.base_score, r.n_known) for r in lmscore.score_documents(docs, head=head, seeds=8).collect()} for head in (400_000, 300))
     assert a.keys() == b.keys()
     for i, own in a.items():
         assert own == pytest.approx(b[i], abs=1e-6)
 
 
+@pytest.mark.parametrize("head", [400_000, 40])
+def test_scores_by_force(spark, head):
+    """Every class and every score against a plain reading of the model, where only the exchange of seeds is shared."""
+    import xxhash
+
+    r = random.Random(31)
+    vocabulary = [f"v{i}" for i in range(300)]
+    texts = {i: " ".join(vocabulary[min(299, int(r.paretovariate(0.8)) - 1)] + r.choice(["", "", "x"]) for _ in range(r.randrange(0, 60))) for i in range(300)}
+    texts[500] = None
+    got = {x.doc_id: x.score for x in lmscore.score_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5), head=head).collect()}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
+    n = Counter(w for i in train for w in words[i])
+    once = sum(v == 1 for v in n.values())
+    classes = round((len(n) - once) ** 0.3)
+    h = lambda w: xxhash.xxh3_64_intdigest(w.encode()) - (1 << 63)
+    seeds = sorted((w for w in n if n[w] > 1), key=lambda w: (-n[w], h(w)))[: 12 * classes]
+    pairs = lambda symbol: Counter(p for i in train for s in [["end", *words[i], "end"]] for p in zip(map(symbol, s), map(symbol, s[1:])))
+    size = len(seeds)
+    number = {w: i for i, w in enumerate(seeds)} | {"end": size + 1}
+    table = np.zeros((size + 2, size + 2))
+    for (a, b), c in pairs(lambda w: number.get(w, size)).items():
+        table[a, b] = c
+    of = lmscore.exchange(table, size, classes)
+    own = {w: int(of[i]) for w, i in number.items()}
+    beside = pairs(lambda w: own.get(w, classes))
+    near = lambda a, b: beside[a, b] + 0.1
+    around = {w: [Counter(), Counter()] for w in n}
+    for i in train:
+        full = ["end", *words[i], "end"]
+        for a, w, b in zip(full, full[1:], full[2:]):
+            around[w][0][own.get(a, classes)] += 1
+            around[w][1][own.get(b, classes)] += 1
+    symbols = {**own}
+    k = range(classes + 2)
+    for w in n:
+        if n[w] > 1 and w not in own:
+            worth = [sum(c * math.log(near(a, q) / sum(near(x, q) for x in k)) for a, c in around[w][0].items()) + sum(c * math.log(near(q, b) / sum(near(q, x) for x in k)) for b, c in around[w][1].items()) for q in range(classes)]
+            symbols[w] = max(range(classes), key=lambda q: (round(worth[q], 7), -q))
+    symbol = lambda w: symbols.get(w, classes)
+    flow = pairs(symbol)
+    total = sum(flow.values())
+    into, out = Counter(), Counter()
+    for (a, b), c in flow.items():
+        into[b] += c
+        out[a] += c
+    share = lambda b: (into[b] + 0.5) / (total + 0.5 * len(k))
+    unknown = min(0.9, (once + 0.5) / (once + 1))
+    for i, w in words.items():
+        full, score = ["end", *w, "end"], 0.0
+        for a, b in zip(full, full[1:]):
+            x, y = symbol(a), symbol(b)
+            score += math.log10((flow[x, y] + 5 * share(y)) / (out[x] + 5))
+            if b != "end":
+                score += math.log10(n[b] / into[y] if n[b] > 1 else (1 - unknown) / once if n[b] else unknown)
+        assert got[i] == pytest.approx(score, abs=1e-6)
+
+
 def test_exchange_raises_likelihood():
     r = np.random.default_rng(1)
     truth = r.integers(0, 4, 60)
@@ -298,6 +440,7 @@ def test_exchange_raises_likelihood():
         s.append(int(r.choice(np.flatnonzero(truth == c))))
     table = np.zeros((62, 62))
     np.add.at(table, (s[:-1], s[1:]), 1)
+    table[np.arange(60), np.arange(60)] += r.integers(0, 300, 60)  # words that repeat
     of = lmscore.exchange(table, 60, 4)
     f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
 
@@ -307,9 +450,14 @@ def test_exchange_raises_likelihood():
         t = m.T @ table @ m
         return f(t) - f(t.sum(0)) - f(t.sum(1))
 
+    for w in range(60):  # no single move is better, by the likelihood itself
+        for c in range(4):
+            moved = of.copy()
+            moved[w] = c
+            assert likelihood(moved) <= likelihood(of) + 2e-3
     start = np.concatenate([np.arange(60) % 4, [4, 5]])
     assert likelihood(of) > likelihood(start)
-    assert likelihood(of) >= 1.02 * likelihood(np.concatenate([truth, [4, 5]]))
+    assert likelihood(of) >= likelihood(np.concatenate([truth, [4, 5]])) - abs(likelihood(start)) * 0.02
 
 
 def test_languages(spark, docs):
@@ -409,11 +557,106 @@ def test_toxicity(spark):
 
 
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar({"idiot": 0}, {"worth": 1}, [2.0, 1.0], -3.0)
-    plain, targeted, negated, told = (g.matches(t)[0] for t in ("an idiot came", "you are an idiot", "he was not an idiot", "as someone said, the idiot came"))
+    states = (toxicity.EXPECTED * 2).tolist()
+    g = toxicity.Grammar({"idiot": 0}, {"worth": 1}, {"hurt": {"you": 2}}, [2.0, 1.0, 2.0], states, -3.0)
+    plain, targeted, negated, told = (g.score(t) for t in ("an idiot came", "you are an idiot", "there is not an idiot", "as someone said, the idiot came"))
     assert targeted > plain > negated and plain > told
-    assert g.matches("nothing. worthless!") == {1: 1.0} and g.matches("not. idiot") == {0: 1.0}
+    assert list(g.clauses("nothing. worthless!")) == [({1}, {0})] and list(g.clauses("not. idiot")) == [({0}, {0})]
     assert g.score(None) == g.score("") == g.score("quiet words") < g.score("idiot")
+    assert g.score("I will hurt all of you") > g.score("hurt. you") == g.score("you hurt") == g.score("") == g.score("hurt a b c you")
+    assert g.score("idiot. " * 50) == g.score("idiot") < g.score("worthless idiot")  # clauses don't add up, terminals of one do
+
+
+def test_clauses_by_force():
+    """The composition against a plain reading of its description, word by word over whole clauses."""
+    r = random.Random(21)
+    words = "idiot worthless hurt you them not never said quiet calm and und".split()
+    g = toxicity.Grammar({"idiot": 0}, {"worth": 1}, {"hurt": {"you": 2, "calm": 3}, "and": {"und": 4}}, [0.0] * 5)
+    terminal = lambda w: [0] if w == "idiot" else [1] if w.startswith("worth") else []
+    for _ in range(400):
+        clauses = [[r.choice(words) for _ in range(r.randrange(14))] for _ in range(4)]
+        want = []
+        for own in clauses:
+            met = [(i, k, 0) for i, w in enumerate(own) for k in terminal(w)]
+            met += [(j, g.pairs[a][own[j]], 8) for i, a in enumerate(own) for j in range(i + 1, min(len(own), i + 4)) if own[j] in g.pairs.get(a, {})]
+            state = lambda i, own=own: 4 * any(w in toxicity.TARGETS for w in own[max(0, i - 6) : i + 7]) + 2 * any(w in toxicity.NEGATIONS for w in own[max(0, i - 3) : i + 1]) + any(w in toxicity.REPORTS for w in own[: i + 1])
+            if met:
+                want.append(({k for _, k, _ in met}, {kind + state(i) for i, _, kind in met}))
+        assert list(g.clauses(". ".join(map(" ".join, clauses)))) == want
+
+
+def test_threats_of_ordinary_words(spark):
+    """Two words that are common in clean texts are a threat in their order and side by side."""
+    r = random.Random(22)
+    filler = lambda n: [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in r.choices(range(200), k=n)]
+    rows = []
+    for i in range(1200):
+        own = filler(40) + ["."] + filler(10)
+        toxic = i % 6 == 0
+        if toxic:
+            own[20:20] = ["burn", *filler(r.randrange(2)), "house"]
+        else:
+            own[5:5], own[30:30] = ["burn"], ["house"]
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(docs, docs)
+    assert "house" in grammar.pairs.get("burn", {})
+    got = {x.doc_id: x.predicted for x in toxicity.score(docs, grammar).collect()}
+    assert sum(got[i] == t for i, _, t in rows) > 0.97 * len(rows)
+    assert grammar.score("they burn the house") > 0.3 > max(grammar.score("the house. they burn"), grammar.score("house burn"))
+
+
+def test_copies_teach_no_words(spark):
+    rows = [(i, "zork the same text of many copies. " + f"fine words {i}", 1) for i in range(60)]
+    rows += [(100 + i, f"a{chr(97 + i % 26)} clown b{chr(97 + i // 26)} came", 1) for i in range(60)] + [(200 + i, f"c{chr(97 + i % 26)} clean d{chr(97 + i // 26)} text", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    grammar = toxicity.fit(docs, docs)
+    assert "clown" in grammar.words and "zork" not in grammar.words
+
+
+def test_token_ids_by_force():
+    """Random texts of letters, marks, spaces and signs that normalisation joins, against the tokenizer on whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    pools = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" * 3 + "  \n\t.,!?;:|*#$%&'\"-0123456789", "éèêëàâäÄÖÜßñÑçœŒæøÅİıŉſẞªºµĿŀĲ\u2126\u212a\u212b", "\u00a0\u2009\u3000\u0085\x1c\u200b", "\u0301\u0327\u0308\u0307", "ΑΣσςБг漢かな한\u1112\u1161", "²½٣５", "👍\U0001f3fd\ufeff"]
+    extra = ["<|endoftext|>", "'S", "İ,", "ß.", "'re"]
+    for name, n in (("word_bpe_49k.json", 50_000), ("byte_bpe_50k.json", 2_000)):
+        own, plain, r = packing.Encoder(public_tokenizers.path(name), limit=500), Tokenizer.from_file(public_tokenizers.path(name)), random.Random(3)
+        texts = ["".join(r.choice(r.choice(pools)) if r.random() < 0.9 else r.choice(extra) for _ in range(r.randrange(1, 14))) for _ in range(n)]
+        for text in texts:
+            assert np.frombuffer(own(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("unit", ["ann@mail.org ", "555-123-4567 ", "10.1.2.3 4111 1111 1111 1111 ", "key = abcdef0123456789abcdef0123456789 ", "anna at mail dot org ", "5", "1 2 ", "a@", "+1 "])
+def test_spans_of_a_megabyte_of_matches(unit):
+    """Time is near linear in matches, spans don't overlap, and all base spans stay."""
+    import time
+
+    pii.model()
+    took = []
+    for n in (60_000, 480_000):
+        text = unit * (n // len(unit))
+        began = time.process_time()
+        base = pii.base_spans(text)
+        spans = pii.model().spans(text, base)
+        took.append(time.process_time() - began)
+        own = set(base)
+        assert own <= set(spans)
+        added = [s for s in spans if s not in own]
+        assert all(a[2] <= b[0] for a, b in zip(added, added[1:]))
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_stashes_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from patchloom.llm import common
+
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, _patchloom_shipped=True))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]", "k8s://x"):
+        with pytest.raises(ValueError):
+            common.shared_root(fake(master))
 
 
 def test_links_of_components(spark):

@@ -41,6 +41,66 @@ def test_extraction(source, text):
     assert page.extract(page.best()[0]) == text
 
 
+LONG_TEXT = "A sentence of the article that goes on for a while. " * 20
+WRAPPED = ["content with-sidebar", "post no-sidebar", "has-menu", "post' id='search", "page-header", "layout-sidebar-right", "searchResults", "social", "alert"]
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_named_wrappers_keep_their_article(name):
+    page = pages.Page(f"<body><nav>Menu</nav><div class='{name}'><h1>T</h1><p>{LONG_TEXT}</p></div><div class='foot'>tiny line</div></body>")
+    assert page.extract(page.best()[0]) == "T " + LONG_TEXT.strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "sidebarLeft", "main-nav", "ad", "ad-slot-3", "comments", "post-comments", "comment_list", "cookie-banner", "share", "page-footer", "newsletter-box", "tags"])
+def test_named_junk_goes(name):
+    page = pages.Page(f"<body><article><p>The article is short, but it is all.</p><div class='{name}'><p>{LONG_TEXT}</p></div></article><div id='{name}'>{LONG_TEXT}</div></body>")
+    assert page.extract(page.best()[0]) == "The article is short, but it is all."
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = pages.Page(f"<body><form id=all><div><h1>T</h1><p>{LONG_TEXT}</p></div><form class=login>Name <input></form></form></body>")
+    assert page.extract(page.best()[0]).startswith("T A sentence")
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '", '<a "', "<a '>' ", "<!--", "<!", "</script", "<script>", "<b>", "<div>", "<i><div><b></i>", "</i>", "<ul><p>", "<li>", "&amp", "<a href='x'>", "<b></p>", "<table><tr><td>", "<p><b>x"])
+def test_malformed_pages_take_linear_time(unit):
+    import time
+
+    took = []
+    for n in (100_000, 1_000_000):
+        source = "<p>start</p>" + unit * (n // len(unit)) + "\"'"
+        began = time.process_time()
+        page = pages.Page(source)
+        page.extract(page.best()[0])
+        page.find(page.path(page.best()[0]))
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * took[0] + 0.5
+
+
+def test_votes_by_force(spark):
+    """Votes and their sums by host and path, over hosts with several layouts."""
+    r = np.random.default_rng(5)
+    made = [f"<body><div class='{c}{i}'><p>{'word ' * int(n)}</p></div><div class=x>short</div></body>" for i, (c, n) in enumerate(zip(r.choice(list("abc"), 60), r.integers(5, 60, 60)))]
+    rows = [(i, f"http://h{i % 4}.org/{i}", m) for i, m in enumerate(made)]
+    want = {}
+    for _, url, m in rows:
+        page = pages.Page(m)
+        node, score = page.best()
+        own = want.setdefault((url.split("/")[2], page.path(node)), [0, 0.0])
+        own[0] += 1
+        own[1] += score
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {(v.host, v.path): [v.votes, v.score] for v in pages.votes(df).collect()} == want
+    first = {}
+    for (host, path), (n, score) in sorted(want.items(), key=lambda x: (-x[1][0], -x[1][1], x[0][1])):
+        first.setdefault(host, []).append(path)
+    got = {x.page_id: x.text for x in pages.extract_pages(df).collect()}
+    for i, url, m in rows:
+        page = pages.Page(m)
+        nodes = next(n for p in first[url.split("/")[2]] if (n := page.find(p)))
+        assert got[i] == page.extract(*nodes)
+
+
 A, B = "The first half of the story is a long one, with many words in it.", "The second half is shorter, but belongs to it."
 SPLIT = [
     f"<body><nav>Menu</nav><div class='post'><section><p>{A}</p></section><section><p>{B}</p></section></div><footer>f</footer></body>",
