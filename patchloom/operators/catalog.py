@@ -17,8 +17,14 @@ MODELS = (
 GB = 1 << 30
 
 
+#: What each is for, in our words.
+ABOUT = ("quick checks, also on weak hosts", "the default: fair answers at a fair speed", "closer reading of larger trees", "careful reviews where memory allows", "deep reading on a workstation", "the best answers, on a server")
+
+
 def models(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(MODELS), "id string, name string, size_gb double, min_ram_gb bigint, min_disk_gb bigint")
+    """id, name, size_gb, min_ram_gb, min_disk_gb, about, file: that of the four-bit weights, named by a rule."""
+    rows = [(*m, a, f"{m[1].lower()}-instruct-q4_k_m.gguf") for m, a in zip(MODELS, ABOUT, strict=True)]
+    return spark.createDataFrame(rows, "id string, name string, size_gb double, min_ram_gb bigint, min_disk_gb bigint, about string, file string")
 
 
 def find_model(spark: SparkSession, ids: DataFrame) -> DataFrame:

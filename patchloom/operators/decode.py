@@ -33,7 +33,10 @@ def _pairs(items):
 
 
 def parse(text: str):
-    return json.loads(text, parse_constant=_no_constant, object_pairs_hook=_pairs)
+    out = json.loads(text, parse_constant=_no_constant, object_pairs_hook=_pairs)
+    if "\\ud" in text.lower():
+        json.dumps(out, ensure_ascii=False).encode()  # half of a surrogate pair is no text: a ValueError
+    return out
 
 
 def _text(v) -> str:

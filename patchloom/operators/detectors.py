@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -113,14 +114,21 @@ class Rule:
     category: str = "quality"
     files: tuple[str, ...] = field(default=())
 
-    def fault(self) -> str | None:
+    @property
+    def java(self) -> str:
+        """The pattern as Java's engine, which runs it, writes it: a group's name is of no use there."""
+        return re.sub(r"((?:^|[^\\])(?:\\\\)*\()\?P?<(?![=!])\w+>", r"\1", self.pattern)
+
+    def fault(self, spark: SparkSession) -> str | None:
         """Why the pattern can't be used: rules stay inside what linear-time engines and Java's share."""
-        if re.search(r"\(\?(?:[=!]|<[=!])", self.pattern) or re.search(r"\\[1-9]", self.pattern):
+        if re.search(r"\(\?(?:[=!]|<[=!])", self.pattern) or re.search(r"\\(?:[1-9]|k<)", self.pattern):
             return "lookaround or backreference"
+        if re.search(r"(?:[*+?}]\+)|\(\?>", self.pattern):
+            return "possessive or atomic"
         try:
-            re.compile(re.sub(r"\\p\{\w+\}", "x", self.pattern))
-        except re.error as e:
-            return str(e)
+            spark._jvm.java.util.regex.Pattern.compile(self.java)
+        except IllegalArgumentException as e:  # what Spark makes of a PatternSyntaxException
+            return str(e).splitlines()[0]
         return None
 
 
@@ -143,17 +151,17 @@ def glob_match(path, pattern):
 
 def rule_status(spark, rules: list[Rule]) -> DataFrame:
     """rule_id, pattern, fault: what is wrong with each rule, null if nothing."""
-    return spark.createDataFrame([(i, r.pattern, r.fault()) for i, r in enumerate(rules)], "rule_id int, pattern string, fault string")
+    return spark.createDataFrame([(i, r.pattern, r.fault(spark)) for i, r in enumerate(rules)], "rule_id int, pattern string, fault string")
 
 
 def rule_findings(segments: DataFrame, rules: list[Rule]) -> DataFrame:
     """One finding for each added line and rule that matches it. Patterns are literals, compiled once, in one pass."""
-    usable = [(i, r) for i, r in enumerate(rules) if r.fault() is None]
+    usable = [(i, r) for i, r in enumerate(rules) if r.fault(segments.sparkSession) is None]
     if not usable:
         return findings_like(segments)
     tests = []
     for i, r in usable:
-        here = F.col("content").rlike(r.pattern)
+        here = F.col("content").rlike(r.java)
         if r.files:
             fits = F.lit(False)
             for g in r.files:

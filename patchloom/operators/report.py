@@ -65,5 +65,23 @@ def report_json(findings: DataFrame, positives: DataFrame | None = None, suggest
     return out.select("patch_id", F.to_json(F.struct(*filled)).alias("report"))
 
 
+def text_report(numbered: DataFrame, positives: DataFrame, suggestions: DataFrame, outcome: DataFrame) -> DataFrame:
+    """patch_id, report: each patch's findings, then how many there are and how many chunks were skipped, then the notes.
+
+    outcome (patch_id, findings, skipped) has a row for each patch, also for those without findings or notes."""
+    blocks = finding_text(numbered).groupBy("patch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]), "").alias("blocks"))
+    out = outcome.join(blocks, "patch_id", "left")
+    for notes, title, name in ((positives, "What is good", "good"), (suggestions, "What could be better", "better")):
+        out = out.join(notes_block(notes, title).withColumnRenamed("block", name), "patch_id", "left")
+    n, lost = F.col("findings"), F.coalesce("skipped", F.lit(0))
+    plural = lambda x, word: F.concat(x.cast("string"), F.lit(f" {word}"), F.when(x == 1, "").otherwise("s"))
+    none = F.when(lost > 0, "No answer could be read").otherwise("Nothing found")
+    count = F.when(n > 0, plural(n, "finding")).otherwise(none)
+    foot = F.concat(F.lit("  "), count, F.when(lost > 0, F.concat(F.lit(", "), plural(lost, "chunk"), F.lit(" skipped"))).otherwise(""), F.lit("\n"))
+    line = F.lit("  " + "─" * RULE + "\n")
+    part = lambda c: F.when(F.col(c).isNotNull(), F.concat(line, F.col(c), F.lit("\n"))).otherwise("")
+    return out.select("patch_id", F.concat(F.coalesce("blocks", F.lit("")), foot, part("good"), part("better")).alias("report"))
+
+
 def ticket_preview(ticket):
     return F.concat(F.left(ticket, F.lit(60)), F.when(F.octet_length(ticket) > 60, "...").otherwise(""))

@@ -125,11 +125,11 @@ def _category(s: str) -> str:
 
 #: The usable rules of the queries, again: number, pattern, message, severity, category, globs.
 RULES = (
-    (0, r"console\.log", "Remove debug logging before merging to production", "medium", "quality", ("*.ts", "*.js", "*.tsx", "*.jsx")),
-    (1, r"password\s*=\s*[\"'][^\"']+[\"']", "Hardcoded password — use environment variables or a secrets manager", "high", "security", ()),
-    (2, "SECRET|API_KEY|PRIVATE_KEY", "Possible hardcoded secret in added code — verify this is not sensitive", "high", "security", ()),
-    (3, "TODO|FIXME|HACK", "Resolve TODO/FIXME/HACK before merging", "low", "maintainability", ()),
-    (4, "debugger;", "Remove debugger statement", "medium", "quality", ("*.ts", "*.js", "*.tsx", "*.jsx")),
+    (0, r"\bprint\(|console\.(?:log|debug)\(", "This prints while the program runs: is it meant to stay?", "low", "quality", ("*.py", "*.ts", "*.js")),
+    (1, r"(?i)\b(?:passwd|password|pwd)\b\s*[:=]\s*[\"'][^\"']{3,}", "A password stands in the source; read it from the environment", "high", "security", ()),
+    (2, r"\bAKIA[0-9A-Z]{16}\b|-----BEGIN [A-Z ]*PRIVATE KEY-----", "This looks like a key that should not be shared", "high", "security", ()),
+    (3, r"\b(?:TODO|XXX)\b", "Something is left to do here", "low", "maintainability", ()),
+    (4, r"\b(?:breakpoint\(\)|set_trace\(\))", "A breakpoint stops the program", "medium", "quality", ("*.py",)),
     (5, "(?i)licen[sc]e", "License text in a change", "low", "quality", ()),
     (6, "token = ", "Token in a change", "medium", "security", ("*.go", "*.ts")),
 )
@@ -253,6 +253,8 @@ SQL: dict[str, str] = {
     "all_findings": f"WITH {LINES}, {ALL} SELECT patch_id, seq, file, line, severity, category, issue FROM findings",
     "findings_threshold": f"WITH {LINES}, {ALL} SELECT patch_id, severity, count(*) AS n FROM findings WHERE severity <> 'low' GROUP BY ALL",
     "finding_numbers": f"WITH {LINES}, {ALL} SELECT patch_id, seq, row_number() OVER (PARTITION BY patch_id ORDER BY seq) AS n FROM findings WHERE severity = 'high'",
+    "notes_block": f"WITH {ANSWERS}, {NOTES} SELECT patch_id, '  What is good' || chr(10) || string_agg('     ·  ' || text, chr(10) ORDER BY chunk_seq, seq) AS block FROM notes GROUP BY patch_id",
+    "rule_status": "SELECT i::INT AS rule_id, i = 7 AS refused FROM range(8) t(i)",
     "adjacent_dedup": f"WITH {ANSWERS}, {NOTES} SELECT * FROM notes QUALIFY lag(text) OVER (PARTITION BY patch_id ORDER BY chunk_seq, seq) IS DISTINCT FROM text",
     "review_gate": f"WITH {LINES}, {ALL} SELECT p.patch_id, count(f.patch_id) AS findings, CASE WHEN count(f.patch_id) > 0 THEN 1 ELSE 0 END AS exit_code FROM (SELECT DISTINCT patch_id FROM lines) p LEFT JOIN (SELECT patch_id FROM findings WHERE severity = 'high') f ON f.patch_id = p.patch_id GROUP BY p.patch_id",
     "review_outcome": f"WITH {LINES}, {D3}, {ANSWERS} SELECT p.patch_id, CASE WHEN p.patch_id IN (SELECT patch_id FROM d3 WHERE severity = 'high') THEN 'findings' WHEN p.patch_id IN (SELECT patch_id FROM answers WHERE k = 5) THEN 'skipped' ELSE 'clean' END AS outcome FROM (SELECT DISTINCT patch_id FROM lines) p",
@@ -260,7 +262,7 @@ SQL: dict[str, str] = {
     "wrapped_issue": f"SELECT doc_id, {_wrapped('text')} AS wrapped FROM documents",
     "finding_text": f"WITH {LINES}, {ALL}, numbered_ AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY seq) AS n FROM findings) SELECT patch_id, n, md5({BLOCK}) AS digest FROM numbered_",
     "ticket_preview": f"WITH {TICKETS} SELECT patch_id, left(text, 60) || CASE WHEN strlen(text) > 60 THEN '...' ELSE '' END AS preview FROM tickets",
-    "model_lookup": f"WITH {_models} SELECT n_nationkey, id, name, size_gb FROM (SELECT n_nationkey, ['0.5b', '7b', '13b', '32B', '32b'][n_nationkey % 5 + 1] AS id FROM nation) JOIN models USING (id)",
+    "model_lookup": f"WITH {_models} SELECT n_nationkey, id, name, size_gb, lower(name) || '-instruct-q4_k_m.gguf' AS file FROM (SELECT n_nationkey, ['0.5b', '7b', '13b', '32B', '32b'][n_nationkey % 5 + 1] AS id FROM nation) JOIN models USING (id)",
     "model_requirements": f"WITH {_models} SELECT s_suppkey AS host, id, (s_suppkey % 40) >= ram AS ram_ok, (s_suppkey * 7) % 30 + 5.0 / {catalog.GB} >= disk AS disk_ok FROM supplier, models",
     "mount_prefix": f"WITH {LINES}, {PATHS}, p AS (SELECT DISTINCT CASE WHEN length(path) % 5 = 0 THEN path ELSE '/' || path END AS path FROM paths), m(mount, free) AS (VALUES ('/', 1.0::DOUBLE), ('/src', 2.0::DOUBLE), ('/src/src0', 3.0::DOUBLE), ('/srcx', 4.0::DOUBLE)) SELECT p.path, coalesce(arg_max(m.free, length(m.mount)), 0.0::DOUBLE) AS free FROM p LEFT JOIN m ON p.path = m.mount OR starts_with(p.path, CASE WHEN m.mount = '/' THEN '/' ELSE m.mount || '/' END) GROUP BY p.path",
 }

@@ -364,6 +364,16 @@ def finding_text(spark, sf_dir):
     return report.finding_text(numbered).select("patch_id", "n", F.md5("block").alias("digest"))
 
 
+@query
+def rule_status(spark, sf_dir):
+    return detectors.rule_status(spark, RULES).select("rule_id", F.col("fault").isNotNull().alias("refused"))
+
+
+@query
+def notes_block(spark, sf_dir):
+    return report.notes_block(decode.decoded_notes(_decoded(spark, sf_dir), "positives"), "What is good")
+
+
 @query
 def ticket_preview(spark, sf_dir):
     return fixtures.tickets(spark, sf_dir).select("patch_id", report.ticket_preview(F.col("text")).alias("preview"))
@@ -372,7 +382,7 @@ def ticket_preview(spark, sf_dir):
 @query
 def model_lookup(spark, sf_dir):
     ids = fixtures.read(spark, sf_dir, "nation").select(F.element_at(F.array(*map(F.lit, ("0.5b", "7b", "13b", "32B", "32b"))), (F.col("n_nationkey") % 5 + 1)).alias("id"), "n_nationkey")
-    return catalog.find_model(spark, ids).select("n_nationkey", "id", "name", "size_gb")
+    return catalog.find_model(spark, ids).select("n_nationkey", "id", "name", "size_gb", "file")
 
 
 @query

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks, context, decode, detectors, findings, generate, prompts, report, segments
 from ..sources import patches as sources
+from .held import written
 
 
 @dataclass(frozen=True)
 class Review:
-    """Lazy results: findings (numbered, at or above the threshold), positives, suggestions, skipped, gate, outcome, report."""
+    """Results: findings (numbered, at or above the threshold), positives, suggestions, skipped, gate, outcome, report, text
+    (the same for readers), answers (each chunk's raw answer and status, to look into what a generator said)."""
 
     findings: DataFrame
     positives: DataFrame
@@ -23,6 +25,8 @@ class Review:
     gate: DataFrame
     outcome: DataFrame
     report: DataFrame
+    text: DataFrame
+    answers: DataFrame
 
 
 def static_findings(patches: DataFrame, rules: list[detectors.Rule] | None = None) -> DataFrame:
@@ -42,12 +46,12 @@ def review(
     max_lines: int = chunks.MAX_LINES,
     most_tokens: int = 1024,
     limit_size: bool = True,
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+    keep: Callable[[DataFrame], DataFrame] = written,
 ) -> Review:
     """patches (patch_id, diff) -> Review. Blank patches and, unless limit_size is off, too large ones are left out.
 
     symbols: an index for context. tickets (patch_id, text): requirements. languages (patch_id, prompt_label): instead of
-    the detected ones. keep: how to hold the shared lines and decoded answers between uses, such as writing a table."""
+    the detected ones. keep: how to hold the shared lines and the generator's answers, which are made once, between uses."""
     guarded = sources.guard(patches).where("status = 'ok'" if limit_size else "status <> 'empty'").drop("status")
     lines = keep(segments.segments(guarded))
     labels = languages if languages is not None else segments.stack_label(segments.patch_languages(lines))
@@ -59,7 +63,9 @@ def review(
     positives, suggestions = (findings.adjacent_dedup(decode.decoded_notes(decoded, n), order=("chunk_seq", "seq")) for n in ("positives", "suggestions"))
     skipped = decode.skipped_chunks(decoded)
     gate = findings.review_gate(guarded, every, threshold)
-    return Review(shown, positives, suggestions, skipped, gate, findings.review_outcome(gate, skipped), report.report_json(shown, positives, suggestions))
+    text = report.text_report(shown, positives, suggestions, gate.join(skipped, "patch_id", "left"))
+    answers = decoded.select(*[c for c in decoded.columns if c != "r"], F.col("r.status").alias("status"))
+    return Review(shown, positives, suggestions, skipped, gate, findings.review_outcome(gate, skipped), report.report_json(shown, positives, suggestions), text, answers)
 
 
 def describe(patches: DataFrame, tickets: DataFrame | None = None, make_generator: Callable[[], generate.Generator] = generate.silent) -> DataFrame:

@@ -179,6 +179,57 @@ def test_whole_run(spark):
     assert review.describe(p).count() == 3 and rows(review.suggest_commit(p), "valid") == [(True,)] * 3
 
 
+def test_a_generator_runs_once_for_each_chunk(spark, tmp_path):
+    """All results come from the same answers; half a surrogate pair is no answer and stops nothing."""
+    seen = str(tmp_path)
+
+    def make():
+        def answer(prompt, most):
+            import os
+            import uuid
+
+            open(os.path.join(seen, uuid.uuid4().hex), "w").close()
+            if "broken" in prompt:
+                return '{"findings": [], "positives": ["\\ud800"]}'
+            return '{"findings": [{"file": "a", "line": 1, "severity": "high", "category": "security", "issue": "i", "suggested_fix": "f"}], "positives": ["good"], "suggestions": ["more"]}'
+
+        return answer
+
+    p = spark.createDataFrame([(1, "diff --git a/a b/a\n@@ -0,0 +1 @@\n+fine\n"), (2, "diff --git a/a b/a\n@@ -0,0 +1 @@\n+broken\n")], "patch_id long, diff string")
+    got = review.review(p, make_generator=make)
+    for df in (got.findings, got.positives, got.suggestions, got.skipped, got.gate, got.outcome, got.report, got.text, got.answers):
+        df.collect()
+    assert len(os.listdir(seen)) == 2
+    assert rows(got.outcome, "patch_id", "outcome") == [(1, "findings"), (2, "skipped")]
+    assert rows(got.answers, "patch_id", "status") == [(1, "ok"), (2, "bad_json")]
+    text = {r.patch_id: r.report for r in got.text.collect()}
+    assert "security  a:1 [#1]" in text[1] and "  1 finding\n" in text[1] and "     ·  good\n" in text[1] and text[1].endswith("     ·  more\n")
+    assert text[2] == "  No answer could be read, 1 chunk skipped\n"
+
+
+def test_reviews_as_they_come(spark, tmp_path):
+    from patchloom.streaming import watch
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.diff").write_text("diff --git a/x.py b/x.py\n@@ -0,0 +1 @@\n+breakpoint()\n")
+    found = []
+    watch.watch_reviews(watch.patch_stream(spark, str(tmp_path / "in")), str(tmp_path / "c"), lambda done, n: found.append((n, done.findings.count(), done.gate.first().exit_code)), rules=list(rules.EXAMPLES)).awaitTermination(60)
+    assert found == [(0, 1, 1)]
+
+
+def test_an_incremental_scan_opens_changed_files_alone(spark, tmp_path):
+    for name, raw in (("a.py", b"one"), ("b.py", b"tw\xffo"), ("target/c.py", b"x"), (".own/d.py", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    own = (*trees.IGNORED, ".own")
+    first = trees.source_tree(spark, str(tmp_path), ignored=own)
+    assert rows(first, "path", "content") == [("a.py", "one"), ("b.py", "tw\ufffdo")]
+    state = spark.createDataFrame(first.select("path", "mtime").collect())
+    os.utime(tmp_path / "a.py", (1, 1))
+    assert rows(trees.source_tree(spark, str(tmp_path), state, own), "path", "content") == [("a.py", "one"), ("b.py", None)]
+    assert {r.content for r in trees.source_tree(spark, str(tmp_path), trees.listing(spark, str(tmp_path), own), own).collect()} == {None}
+
+
 def test_watch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.diff").write_text("diff --git a/x.ts b/x.ts\n@@ -1 +4,1 @@\n+TODO\n")

@@ -93,6 +93,14 @@ def test_rules(spark):
     assert detectors.rule_findings(s, []).count() == 0
 
 
+@pytest.mark.parametrize(("pattern", "fault", "hit"), [("(?P<name_1>TO)DO", False, True), ("(?<n>TO)DO", False, True), (r"TODO\z", False, True), ("x(?i)todo", False, False), ("(?i)todo", False, True), (r"a(?!b)", True, False), (r"(a)\1", True, False), ("a++", True, False), ("(?>a)", True, False), ("[", True, False), (r"\(\?P<n>", False, False), (r"\p{Lu}ODO", False, True)])
+def test_rule_patterns_are_those_of_the_engine_that_runs_them(spark, pattern, fault, hit):
+    rule = Rule(pattern, "m")
+    assert (rule.fault(spark) is not None) is fault
+    got = detectors.rule_findings(seg(spark, "diff --git a/a b/a\n@@ -1 +3,1 @@\n+TODO"), [rule]).count()
+    assert got == int(hit)
+
+
 def malformed(r):
     name = lambda: r.choice(["foo", "x1", "a_b", "mut", "err"])
     code = lambda: r.choice([f"const {name()} = 1;", f"let {name()}", f"def {name()}(a):", f"{name()}, {name()} := f()", f"use({name()})", f"{name()} TODO", "", "  ", "-- x", "++i"])
