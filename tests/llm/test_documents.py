@@ -659,6 +659,38 @@ def test_stashes_need_a_shared_folder_on_a_cluster():
             common.shared_root(fake(master))
 
 
+def test_language_distances_by_force(spark, docs):
+    """Profiles, distances, ties and scores against plain counting of n-grams as tuples."""
+    length = 60
+
+    def grams(text):
+        flat = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        out = Counter()
+        for w in flat:
+            x = [0, *(max(1, ord(c) & 0xFFFF) for c in w), 0]
+            for n in (1, 2, 3):
+                for i in range(len(x) - n + 1):
+                    g = x[i : i + n]
+                    if any(g) and (n > 1 or g[0]) and all(g[1:-1]):
+                        out[n, *g] += 1
+        return out
+
+    ranked = lambda n: sorted(n, key=lambda g: (-n[g], g))[:length]
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()] + [(9000, None, "und"), (9001, "en", None), (9002, "en", ""), (9003, "de", "12 !"), (9004, "fr", "a")]
+    total = {}
+    for i, lang, text in rows:
+        if lang and text is not None and zlib.crc32(str(i).encode()) % 5:
+            total.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: {g: k for k, g in enumerate(ranked(n))} for lang, n in sorted(total.items()) if n}
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, langid.fit(df, length=length)).collect()}
+    for i, _, text in rows:
+        own = ranked(grams(text))
+        far = sorted((sum(abs(p[g] - k) if g in p else length for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        want = (far[0][1], 0.5 + 0.5 * (far[1][0] - far[0][0]) / max(1, far[1][0])) if own else ("und", 0.0)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1]), i
+
+
 def test_links_of_components(spark):
     from patchloom.llm.common import Stash
     from patchloom.llm.graph import components
