@@ -629,13 +629,13 @@ def test_token_ids_by_force():
 
 
 @pytest.mark.parametrize("unit", ["ann@mail.org ", "555-123-4567 ", "10.1.2.3 4111 1111 1111 1111 ", "key = abcdef0123456789abcdef0123456789 ", "anna at mail dot org ", "5", "1 2 ", "a@", "+1 "])
-def test_spans_of_a_megabyte_of_matches(unit):
+def test_spans_of_many_matches(unit):
     """Time is near linear in matches, spans don't overlap, and all base spans stay."""
     import time
 
     pii.model()
     took = []
-    for n in (60_000, 480_000):
+    for n in (10_000, 80_000):
         text = unit * (n // len(unit))
         began = time.process_time()
         base = pii.base_spans(text)
