@@ -130,8 +130,14 @@ def decoded_notes(decoded: DataFrame, which: str) -> DataFrame:
     return decoded.select("patch_id", "chunk_seq", F.posexplode(f"r.{which}").alias("seq", "text"))
 
 
+def unanswered(decoded: DataFrame) -> DataFrame:
+    """decoded, in which a chunk without a response, as of a prompt that fills the window, is no empty success but unanswered."""
+    return decoded.withColumn("r", F.col("r").withField("status", F.when(F.col("response").isNull(), "unanswered").otherwise(F.col("r.status"))))
+
+
 def skipped_chunks(decoded: DataFrame) -> DataFrame:
-    return decoded.groupBy("patch_id").agg(F.count_if(F.col("r.status") == "bad_json").alias("skipped"))
+    """patch_id, skipped: how many chunks have no answer or one that can't be read."""
+    return decoded.groupBy("patch_id").agg(F.count_if(F.col("r.status").isin("bad_json", "unanswered")).alias("skipped"))
 
 
 def decode_descriptions(responses: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ def silent() -> Generator:
     return lambda prompt, most: '{"findings": [], "positives": [], "suggestions": []}'
 
 
-def generate(prompts: DataFrame, make: Callable[[], Generator] = silent, most_tokens: int = 1024, count: Callable[[str], int] = lambda s: -(-len(s.encode()) // 4)) -> DataFrame:
-    """prompts (keys, prompt) -> keys, response. A prompt that fills the window is fatal; output is cut to what is left.
+def generate(prompts: DataFrame, make: Callable[[], Generator] = silent, most_tokens: int = 1024, count: Callable[[str], int] = lambda s: -(-len(s.encode()) // 4), strict: bool = True) -> DataFrame:
+    """prompts (keys, prompt) -> keys, response. A prompt that fills the window is fatal, or, if not strict, has a
+    null response, so that one patch of a table doesn't end the run for all; output is cut to what is left.
 
     `make` runs once in each partition, so a model is loaded once. An answer may end where json_complete holds."""
     keys = [c for c in prompts.columns if c != "prompt"]
@@ -29,9 +30,9 @@ def generate(prompts: DataFrame, make: Callable[[], Generator] = silent, most_to
             out = []
             for p in f["prompt"]:
                 n = count(p)
-                if n >= PROMPT_TOKENS:
+                if n >= PROMPT_TOKENS and strict:
                     raise ValueError(f"a prompt of {n} tokens exceeds the window of {PROMPT_TOKENS}")
-                out.append(model(p, min(most_tokens, PROMPT_TOKENS - n)))
+                out.append(model(p, min(most_tokens, PROMPT_TOKENS - n)) if n < PROMPT_TOKENS else None)
             yield f[keys].assign(response=out)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema if f.name != "prompt")

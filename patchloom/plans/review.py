@@ -46,18 +46,20 @@ def review(
     max_lines: int = chunks.MAX_LINES,
     most_tokens: int = 1024,
     limit_size: bool = True,
+    strict: bool = True,
     keep: Callable[[DataFrame], DataFrame] = written,
 ) -> Review:
     """patches (patch_id, diff) -> Review. Blank patches and, unless limit_size is off, too large ones are left out.
 
     symbols: an index for context. tickets (patch_id, text): requirements. languages (patch_id, prompt_label): instead of
-    the detected ones. keep: how to hold the shared lines and the generator's answers, which are made once, between uses."""
+    the detected ones. strict: whether a prompt that fills the window ends the run; else its chunk is skipped. keep: how to hold the shared lines and the generator's answers, which are made once, between uses."""
     guarded = sources.guard(patches).where("status = 'ok'" if limit_size else "status <> 'empty'").drop("status")
     lines = keep(segments.segments(guarded))
     labels = languages if languages is not None else segments.stack_label(segments.patch_languages(lines))
     context_of = context.context_text(context.context_topk(context.context_symbols(lines, symbols)), symbols) if symbols is not None else None
     made = prompts.review_prompts(chunks.number_chunks(chunks.diff_chunks(lines, max_lines)), labels, context_of, tickets)
-    decoded = keep(decode.decode_reviews(generate.generate(made, make_generator, most_tokens)))
+    answered = decode.decode_reviews(generate.generate(made, make_generator, most_tokens, strict=strict))
+    decoded = keep(answered if strict else decode.unanswered(answered))
     every = findings.union_findings(detectors.commented_code(lines), detectors.removed_still_used(lines), detectors.rule_findings(lines, rules or []), decoded=decode.decoded_findings(decoded))
     shown = findings.number(findings.at_least(every, threshold))
     positives, suggestions = (findings.adjacent_dedup(decode.decoded_notes(decoded, n), order=("chunk_seq", "seq")) for n in ("positives", "suggestions"))

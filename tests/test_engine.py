@@ -95,6 +95,18 @@ def test_window_is_fatal(spark):
         generate.generate(df).collect()
 
 
+def test_window_of_one_patch_alone(spark):
+    """A chunk that fills the window is skipped if that is asked for; other patches are reviewed as ever."""
+    def diff(n, text):
+        return f"diff --git a/{n}.py b/{n}.py\n--- a/{n}.py\n+++ b/{n}.py\n@@ -0,0 +1,20 @@\n" + f"+{text}\n" * 20
+
+    df = spark.createDataFrame([(1, diff("a", "x" * 1_000)), (2, diff("b", "TODO"))], "patch_id long, diff string")
+    got = review.review(df, list(rules.EXAMPLES), strict=False)
+    assert sorted((r.patch_id, r.status) for r in got.answers.collect()) == [(1, "unanswered"), (2, "ok")]
+    assert sorted((r.patch_id, r.skipped) for r in got.skipped.collect()) == [(1, 1), (2, 0)]
+    assert sorted((r.patch_id, r.outcome) for r in got.outcome.collect()) == [(1, "skipped"), (2, "findings")]
+
+
 def test_adjacent_duplicates(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "b", "a", "a", None, None])], "patch_id long, seq int, text string")
     assert [r.text for r in findings.adjacent_dedup(df).orderBy("seq").collect()] == ["a", "b", "a", None]
