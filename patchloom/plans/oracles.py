@@ -207,6 +207,21 @@ BLOCK = f"chr(10) || '   ' || {_badge} || '   ' || {_icon} || '  ' || category |
 _models = "models(id, name, size_gb, ram, disk) AS (VALUES " + ", ".join(f"({lit(a)}, {lit(b)}, {c}::DOUBLE, {d}, {e})" for a, b, c, d, e in expected.MODELS) + ")"
 
 
+def _noted(title: str, notes: str) -> str:
+    return f"coalesce((SELECT '  ' || repeat('─', 62) || chr(10) || '  {title}' || chr(10) || string_agg('     ·  ' || text, chr(10) ORDER BY chunk_seq, seq) || chr(10) FROM {notes} x WHERE x.patch_id = c.patch_id HAVING count(*) > 0), '')"
+
+
+REPORT = f"""good AS (SELECT * FROM notes QUALIFY lag(text) OVER (PARTITION BY patch_id ORDER BY chunk_seq, seq) IS DISTINCT FROM text),
+better AS (SELECT patch_id, min(chunk_seq) AS chunk_seq, 0 AS seq, 's' AS text FROM answers WHERE k = 0 GROUP BY patch_id),
+shown AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY seq) AS n FROM findings WHERE severity <> 'low'),
+blocks AS (SELECT patch_id, count(*) AS n, string_agg(block, '' ORDER BY n) AS blocks FROM (SELECT patch_id, n, {BLOCK} AS block FROM shown) GROUP BY patch_id),
+lost AS (SELECT patch_id, count(*) AS lost FROM answers WHERE k IN ({', '.join(map(str, expected.UNREADABLE))}) GROUP BY patch_id),
+counted AS (SELECT p.patch_id, coalesce(b.n, 0) AS n, coalesce(b.blocks, '') AS blocks, coalesce(l.lost, 0) AS lost FROM (SELECT DISTINCT patch_id FROM lines) p LEFT JOIN blocks b USING (patch_id) LEFT JOIN lost l USING (patch_id)),
+reports AS (SELECT patch_id, blocks || '  ' || CASE WHEN n = 1 THEN '1 finding' WHEN n > 1 THEN n || ' findings' WHEN lost > 0 THEN 'No answer could be read' ELSE 'Nothing found' END
+  || CASE WHEN lost = 1 THEN ', 1 chunk skipped' WHEN lost > 1 THEN ', ' || lost || ' chunks skipped' ELSE '' END || chr(10) || {_noted('What is good', 'good')} || {_noted('What could be better', 'better')} AS report FROM counted c)
+SELECT patch_id, strlen(report)::BIGINT AS bytes, md5(report) AS digest FROM reports"""
+
+
 SQL: dict[str, str] = {
     "line_kinds": f"WITH {LINES} SELECT patch_id, pos, kind FROM seg",
     "file_segments": f"WITH {LINES} SELECT patch_id, file_seq::BIGINT AS file_seq, file, count(*) AS n_lines, min(pos) AS first_pos FROM seg GROUP BY ALL",
@@ -260,6 +275,11 @@ SQL: dict[str, str] = {
     "report_json": f"WITH {LINES}, {ALL}, {NOTES}, f AS (SELECT patch_id, count(*) AS c, arg_min(issue, seq) AS i FROM findings WHERE severity <> 'low' GROUP BY patch_id), n AS (SELECT patch_id, string_agg(text, '|' ORDER BY chunk_seq, seq) AS t, (count(*) // 3)::BIGINT AS s FROM notes GROUP BY patch_id) SELECT patch_id, coalesce(c, 0)::BIGINT AS n_findings, coalesce(t, '') AS positives, coalesce(s, 0)::BIGINT AS n_suggestions, i AS first_issue FROM f FULL JOIN n USING (patch_id)",
     "wrapped_issue": f"SELECT doc_id, {_wrapped('text')} AS wrapped FROM documents",
     "finding_text": f"WITH {LINES}, {ALL}, numbered_ AS (SELECT *, row_number() OVER (PARTITION BY patch_id ORDER BY seq) AS n FROM findings) SELECT patch_id, n, md5({BLOCK}) AS digest FROM numbered_",
+    "text_report": f"WITH {LINES}, {ALL}, {NOTES}, {REPORT}",
+    "whole_review": f"""WITH {LINES}, {D1}, {D2}, {D3},
+own AS (SELECT patch_id, detector, at_pos, sub, file, line, severity, category, issue FROM d1 UNION ALL SELECT patch_id, detector, at_pos, sub, file, line, severity, category, issue FROM d2 UNION ALL SELECT patch_id, detector, at_pos, sub, file, line, severity, category, issue FROM d3)
+SELECT patch_id, row_number() OVER (PARTITION BY patch_id ORDER BY detector, at_pos, sub) AS n, file, line::BIGINT AS line, severity, category, issue FROM own WHERE severity <> 'low'""",
+    "parsed_rules": "SELECT * FROM (VALUES (0::BIGINT, 'a+', 'as', 'medium', 'quality', ''), (1::BIGINT, 'b\\d', 'bs', 'high', 'security', '*.py|b.ts')) v(n, pattern, message, severity, category, files)",
     "ticket_preview": f"WITH {TICKETS} SELECT patch_id, left(text, 60) || CASE WHEN strlen(text) > 60 THEN '...' ELSE '' END AS preview FROM tickets",
     "model_lookup": f"WITH {_models} SELECT n_nationkey, id, name, size_gb, lower(name) || '-instruct-q4_k_m.gguf' AS file FROM (SELECT n_nationkey, ['0.5b', '7b', '13b', '32B', '32b'][n_nationkey % 5 + 1] AS id FROM nation) JOIN models USING (id)",
     "model_requirements": f"WITH {_models} SELECT s_suppkey AS host, id, (s_suppkey % 40) >= ram AS ram_ok, (s_suppkey * 7) % 30 + 5.0 / 1073741824 >= disk AS disk_ok FROM supplier, models",

@@ -11,9 +11,11 @@ from ..functions import text as T
 from ..operators import catalog, chunks, context, decode, detectors, findings, generate, prompts, report, segments, symbols
 from ..operators.detectors import Rule
 from ..sources import fixtures, patches
-from ..sources.rules import EXAMPLES
+from ..sources.rules import EXAMPLES, parse_rules
 from . import oracles
+from .held import written
 from .registry import ORACLES, QUERIES
+from .review import review
 
 RULES = [*EXAMPLES, Rule("(?i)licen[sc]e", "License text in a change", "urgent", "legal"), Rule("token = ", "Token in a change", "med", "Security", ("*.go", "*.ts")), Rule("(?=x)", "not usable")]
 
@@ -206,7 +208,7 @@ def brace_deltas(spark, sf_dir):
 
 
 def _context(spark, sf_dir):
-    index = symbols.build_index(_tree(spark, sf_dir))
+    index = written(symbols.build_index(_tree(spark, sf_dir)))
     found = context.context_symbols(lines(spark, sf_dir, named=True), index)
     return found, context.context_topk(found, 3), index
 
@@ -235,8 +237,9 @@ def byte_truncate(spark, sf_dir):
 @query
 def review_prompts(spark, sf_dir):
     _, top, index = _context(spark, sf_dir)
-    labels = segments.stack_label(_languages(spark, sf_dir))
-    out = prompts.review_prompts(_numbered(spark, sf_dir), labels, context.context_text(top, index), fixtures.tickets(spark, sf_dir))
+    s = written(lines(spark, sf_dir))
+    labels = segments.stack_label(segments.patch_languages(s))
+    out = prompts.review_prompts(chunks.number_chunks(chunks.diff_chunks(s, max_lines=40)), labels, context.context_text(top, index), fixtures.tickets(spark, sf_dir))
     return out.select("patch_id", "chunk_seq", F.md5("prompt").alias("digest"))
 
 
@@ -303,9 +306,9 @@ def commit_decoded(spark, sf_dir):
     return decode.decode_commits(_simple(spark, sf_dir, COMMITS)).select("patch_id", "valid", "message", "body")
 
 
-def _all_findings(spark, sf_dir):
-    s = lines(spark, sf_dir)
-    decoded = decode.decoded_findings(_decoded(spark, sf_dir))
+def _all_findings(spark, sf_dir, decoded=None):
+    s = written(lines(spark, sf_dir))
+    decoded = decode.decoded_findings(_decoded(spark, sf_dir) if decoded is None else decoded)
     return findings.union_findings(detectors.commented_code(s), detectors.removed_still_used(s), detectors.rule_findings(s, RULES), decoded=decoded)
 
 
@@ -344,8 +347,8 @@ def review_outcome(spark, sf_dir):
 
 @query
 def report_json(spark, sf_dir):
-    decoded = _decoded(spark, sf_dir)
-    own = findings.at_least(_all_findings(spark, sf_dir), "medium")
+    decoded = written(_decoded(spark, sf_dir))
+    own = findings.at_least(_all_findings(spark, sf_dir, decoded), "medium")
     made = report.report_json(own, decode.decoded_notes(decoded, "positives"), decode.decoded_notes(decoded, "suggestions"))
     parsed = F.from_json("report", "struct<findings:array<struct<file:string,line:bigint,issue:string>>,positives:array<string>,suggestions:array<string>>").alias("p")
     x = made.select("patch_id", parsed)
@@ -364,6 +367,46 @@ def finding_text(spark, sf_dir):
     return report.finding_text(numbered).select("patch_id", "n", F.md5("block").alias("digest"))
 
 
+@query
+def text_report(spark, sf_dir):
+    """The whole report of patches for readers: findings, counts, notes."""
+    decoded = written(_decoded(spark, sf_dir))
+    every = written(_all_findings(spark, sf_dir, decoded))
+    positives, suggestions = (findings.adjacent_dedup(decode.decoded_notes(decoded, n), order=("chunk_seq", "seq")) for n in ("positives", "suggestions"))
+    gate = findings.review_gate(fixtures.patches(spark, sf_dir).select("patch_id"), every, "medium")
+    made = report.text_report(findings.number(findings.at_least(every, "medium")), positives, suggestions, gate.join(decode.skipped_chunks(decoded), "patch_id", "left"))
+    return made.select("patch_id", F.octet_length("report").cast("bigint").alias("bytes"), F.md5("report").alias("digest"))
+
+
+@query
+def whole_review(spark, sf_dir):
+    """A whole run with the default generator, which finds nothing: what the detectors find, numbered. Prompts that
+    fill the window go without an answer."""
+    done = review(fixtures.patches(spark, sf_dir), RULES, threshold="medium", limit_size=False, strict=False)
+    return done.findings.select("patch_id", "n", "file", "line", "severity", "category", "issue")
+
+
+TOML = """
+[[rule]]
+pattern = "a+"
+message = "as"
+
+[[rule]]
+pattern = 'b\\d'
+message = "bs"
+severity = "HIGH"
+category = "Security"
+files = ["*.py", "b.ts"]
+"""
+
+
+@query
+def parsed_rules(spark, sf_dir):
+    """The rules of a TOML text, with what is left out filled in."""
+    rows = [(i, r.pattern, r.message, r.severity, r.category, "|".join(r.files)) for i, r in enumerate(parse_rules(TOML))]
+    return spark.createDataFrame(rows, "n bigint, pattern string, message string, given_severity string, given_category string, files string").select("n", "pattern", "message", detectors.rule_severity(F.col("given_severity")).alias("severity"), detectors.rule_category(F.col("given_category")).alias("category"), "files")
+
+
 @query
 def rule_status(spark, sf_dir):
     return detectors.rule_status(spark, RULES).select("rule_id", F.col("fault").isNotNull().alias("refused"))

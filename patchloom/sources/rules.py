@@ -18,14 +18,19 @@ EXAMPLES = (
 )
 
 
+def parse_rules(text: str) -> list[Rule]:
+    """The rules of a TOML text; an error if it isn't valid."""
+    found = tomllib.loads(text).get("rule", [])
+    return [Rule(r["pattern"], r["message"], r.get("severity", "medium"), r.get("category", "quality"), tuple(r.get("files", ()))) for r in found]
+
+
 def load_rules(path: str) -> list[Rule]:
     """The rules of a file; none, with a warning, if it can't be read or isn't valid; none if it doesn't exist."""
     if not os.path.exists(path):
         return []
     try:
-        with open(path, "rb") as f:
-            found = tomllib.load(f).get("rule", [])
-        return [Rule(r["pattern"], r["message"], r.get("severity", "medium"), r.get("category", "quality"), tuple(r.get("files", ()))) for r in found]
-    except (OSError, KeyError, TypeError, AttributeError, tomllib.TOMLDecodeError) as e:
+        with open(path, encoding="utf-8") as f:
+            return parse_rules(f.read())
+    except (OSError, UnicodeDecodeError, KeyError, TypeError, AttributeError, tomllib.TOMLDecodeError) as e:
         warnings.warn(f"no rules from {path}: {e}", stacklevel=2)
         return []
