@@ -6,10 +6,14 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SCOPE: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -24,15 +28,35 @@ def written(df: DataFrame) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='patchloom-')}"
     path = f"{root.rstrip('/')}/held-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    if (scope := _SCOPE.get()) is not None:
+        scope.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def held_within() -> Iterator[None]:
+    """Tables written within are deleted at its end, so a stream of many batches holds one batch's tables at a time."""
+    own: list[tuple[SparkSession, str]] = []
+    before = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(before)
+        for spark, path in own:
+            _delete(spark, path)
+            _WRITTEN.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: nothing to call
             return

@@ -29,9 +29,12 @@ class Review:
     answers: DataFrame
 
 
-def static_findings(patches: DataFrame, rules: list[detectors.Rule] | None = None) -> DataFrame:
-    """What the detectors find, without a generator; the three share one frame of lines."""
-    lines = segments.segments(patches)
+def static_findings(patches: DataFrame, rules: list[detectors.Rule] | None = None, limit_size: bool = True, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """What the detectors find, without a generator; the three share one frame of lines, which keep holds.
+
+    Unless limit_size is off, patches too large for one task's window are left out, as review() does."""
+    guarded = sources.guard(patches).where("status <> 'too_large'" if limit_size else "true").drop("status")
+    lines = keep(segments.segments(guarded))
     return findings.union_findings(detectors.commented_code(lines), detectors.removed_still_used(lines), detectors.rule_findings(lines, rules or []))
 
 

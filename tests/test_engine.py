@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from patchloom.operators import catalog, context, decode, findings, generate, report, segments, symbols
 from patchloom.operators.detectors import Rule
-from patchloom.plans import registry, review
+from patchloom.plans import held, registry, review
 from patchloom.sources import patches, rules, trees
 from patchloom.streaming import watch
 
@@ -107,6 +107,23 @@ def test_window_of_one_patch_alone(spark):
     assert sorted((r.patch_id, r.outcome) for r in got.outcome.collect()) == [(1, "skipped"), (2, "findings")]
 
 
+def test_held_tables_go_with_their_scope(spark):
+    df = spark.range(3)
+    outside = held.written(df)
+    with held.held_within():
+        inside = held.written(df)
+        paths = [f.removeprefix("file://") for f in inside.inputFiles()]
+        assert inside.count() == 3 and all(map(os.path.exists, paths))
+    assert not any(map(os.path.exists, paths)) and outside.count() == 3
+
+
+def test_static_findings_leave_out_what_is_too_large(spark):
+    diff = "diff --git a/a.py b/a.py\n@@ -0,0 +1 @@\n+TODO\n"
+    df = spark.createDataFrame([(1, diff), (2, diff + "+x\n" * 600_000), (3, None)], "patch_id long, diff string")
+    found = lambda **o: sorted(r.patch_id for r in review.static_findings(df, [Rule("TODO", "todo")], **o).collect())
+    assert found() == [1] and found(limit_size=False) == [1, 2]
+
+
 def test_adjacent_duplicates(spark):
     df = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "b", "a", "a", None, None])], "patch_id long, seq int, text string")
     assert [r.text for r in findings.adjacent_dedup(df).orderBy("seq").collect()] == ["a", "b", "a", None]
